@@ -32,7 +32,7 @@ def _ask(text: str, interval: int = DAY, start: int = FROM, end: int = TO, **opt
 # SQL pieces: samples per series (type, shard, tier) and bucket, then groups, then dense lines
 
 EVENTS = """e AS (SELECT event_id, user_id, event_type AS type, 'u' || (user_id % 8) AS shard, CASE WHEN user_id % 8 < 2 THEN 'gold' END AS tier, value,
-  epoch_ms(ts) // 1000 // 3600 * 3600 AS ts_s FROM events)"""
+  epoch_us(ts) // 1000000 // 3600 * 3600 AS ts_s FROM events)"""
 SAMPLES = {
     "count": "SELECT type, shard, tier, ts_s, count(*)::DOUBLE AS value FROM e GROUP BY ALL",
     "rate": "SELECT type, shard, tier, ts_s, count(*) / 3600.0 AS value FROM e GROUP BY ALL",
