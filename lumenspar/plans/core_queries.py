@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenspar.operators import delivery_dedup, late_events, log_entries, regular_grid, spikes
 from lumenspar.operators.set_sketch import SetSketch
+from lumenspar.session import cut
 from lumenspar.sources.tables import arrived_samples, series_meta, table
 
 # Metrics that jump or stand still by nature.
@@ -84,12 +85,22 @@ def p6_distinct(spark: SparkSession, d: str) -> DataFrame:
 
     Coarser groups are merged from the finest sketches by maximum. std_error is the standard error of the estimate.
     """
-    fine = identifier_sketches(spark, d).withColumn("tag", F.coalesce("tag_key", F.lit(""))).withColumn("dim", F.col("tag_key").isNotNull())
-    # all series of a day or metric, tagged or not, come from the plain sketches; a value needs a tag key to belong to
-    cube = fine.groupingSets([["day", "metric", "tag", "dim", "what", "reg"], ["day", "tag", "dim", "what", "reg"], ["metric", "tag", "dim", "what", "reg"], ["tag", "dim", "what", "reg"], ["day", "metric", "dim", "what", "reg"], ["day", "dim", "what", "reg"], ["metric", "dim", "what", "reg"], ["dim", "what", "reg"]], "day", "metric", "tag", "dim", "what", "reg").agg(F.max("k").alias("k"), F.grouping("tag").alias("over"), F.grouping("day").alias("gd"), F.grouping("metric").alias("gm"))
-    use = cube.where("(over = 0 and dim) or (over = 1 and not dim and what = 'series') or (over = 1 and dim and what = 'value')")
-    star = lambda flag, c: F.when(F.col(flag) == 1, "*").otherwise(F.col(c).cast("string"))
-    merged = use.select(star("gd", "day").alias("day"), star("gm", "metric").alias("metric"), star("over", "tag").alias("tag_key"), "what", "reg", "k").where("day is not null and metric is not null")
+    fine = cut(identifier_sketches(spark, d), "sketches")  # read once for each family of groups below
+    tagged, plain = fine.where("tag_key is not null"), fine.where("tag_key is null")
+
+    def roll(df: DataFrame, keys: list[str], sets: list[list[str]]) -> DataFrame:
+        """Sketches merged over the keys that a set leaves out; those come out as `*`."""
+        cube = df.groupingSets([[*s, "what", "reg"] for s in sets], *keys, "what", "reg").agg(F.max("k").alias("k"), *(F.grouping(c).alias(f"g_{c}") for c in keys))
+        return cube.select(*(F.when(F.col(f"g_{c}") == 1, "*").otherwise(F.col(c).cast("string")).alias(c) if c in keys else F.lit("*").alias(c) for c in ("day", "metric", "tag_key")), "what", "reg", "k")
+
+    # the finest groups are there already; series of no tag key in particular come from the plain sketches, tagged or not
+    finest = fine.where("metric is not null").select(F.col("day").cast("string").alias("day"), "metric", F.coalesce("tag_key", F.lit("*")).alias("tag_key"), "what", "reg", "k")
+    coarse = (
+        roll(tagged.where("what = 'series'"), ["day", "metric", "tag_key"], [["day", "tag_key"], ["metric", "tag_key"], ["tag_key"]])
+        .unionByName(roll(tagged.where("what = 'value'"), ["day", "metric", "tag_key"], [["day", "tag_key"], ["metric", "tag_key"], ["tag_key"], ["day", "metric"], ["day"], ["metric"], []]))
+        .unionByName(roll(plain, ["day", "metric"], [["day"], ["metric"], []]))
+    )
+    merged = finest.unionByName(coarse).where("day is not null and metric is not null")
     return SKETCH.estimates(merged, ["day", "metric", "tag_key", "what"])
 
 
