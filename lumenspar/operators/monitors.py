@@ -116,19 +116,20 @@ class Options:
     min_failures: int = 1
     no_data_s: int = 0  # 0: never NO_DATA
     renotify_s: int = 0
-    expire_s: int = DAY
+    muted: bool = False
 
 
-def next_level(t: Thresholds, status: str, v: float) -> str:
-    """The status that a value leads to: a level is entered past its threshold and left past its recovery."""
-    past = lambda level: level is not None and holds(t.op, v, level)
-    if past(t.critical):
+def next_level(t: Thresholds, status: str, v: float, failures: int, o: Options) -> str:
+    """The status that a value leads to: a level is entered past its threshold and left past its recovery. `failures` is
+    the number of evaluations in a row, this one included, past the critical level."""
+    past = lambda level, recovery=None: level is not None and holds(t.op, v, level if recovery is None else recovery)
+    if failures >= max(1, o.min_failures):
         return "ALERT"
-    if status == "ALERT" and t.critical_recovery is not None and past(t.critical_recovery):
+    if status == "ALERT" and past(t.critical, t.critical_recovery):
         return "ALERT"
     if past(t.warning):
         return "WARN"
-    if status in ("ALERT", "WARN") and t.warning is not None and past(t.warning_recovery if t.warning_recovery is not None else t.warning):
+    if status in ("WARN", "ALERT") and past(t.warning, t.warning_recovery):
         return "WARN"
     return "OK"
 
@@ -143,30 +144,29 @@ class State:
 
 
 def advance(s: State, t: Thresholds, o: Options, now: int, v: float | None) -> str:
-    """One evaluation; returns the kind of notification ('' for none): alert, warn, recovery, no_data or renotify."""
+    """One evaluation; returns the kind of notification ('' for none): alert, warn, recovery, no_data or renotify.
+
+    Data after NO_DATA is judged as if the group were new. A muted monitor's state advances, and nobody is told.
+    """
+    to = s.status
     if v is None:
-        if o.no_data_s and s.last_data and s.status != "NO_DATA" and now - s.last_data >= o.no_data_s:
-            s.status, s.since, s.breaches, s.notified = "NO_DATA", now, 0, now
-            return "no_data"
-        return ""
-    s.last_data = now
-    base = "OK" if s.status == "NO_DATA" else s.status
-    to = next_level(t, base, v)
-    worse = {"OK": 0, "WARN": 1, "ALERT": 2}
-    if worse[to] > worse[base]:
-        s.breaches += 1
-        if s.breaches < o.min_failures:
-            to = base
+        if o.no_data_s and s.last_data and now - s.last_data >= o.no_data_s:
+            to, s.breaches = "NO_DATA", 0
     else:
-        s.breaches = 0
+        s.last_data = now
+        s.breaches = s.breaches + 1 if holds(t.op, v, t.critical) else 0
+        to = next_level(t, "OK" if s.status == "NO_DATA" else s.status, v, s.breaches, o)
+    event = ""
     if to != s.status:
-        s.status, s.since, s.breaches = to, now, 0
-        s.notified = now
-        return {"ALERT": "alert", "WARN": "warn", "OK": "recovery"}[to]
-    if o.renotify_s and s.status in ("ALERT", "WARN") and now - s.notified >= o.renotify_s:
+        s.status, s.since = to, now
+        event = {"ALERT": "alert", "WARN": "warn", "OK": "recovery", "NO_DATA": "no_data"}[to]
+    elif o.renotify_s and to in ("ALERT", "NO_DATA") and now - s.notified >= o.renotify_s:
+        event = "renotify"
+    if o.muted:
+        return ""
+    if event:
         s.notified = now
-        return "renotify"
-    return ""
+    return event
 
 
 def reduce_windows(points: DataFrame, agg: str, window_s: int, step_s: int, require_full: bool = False) -> DataFrame:
