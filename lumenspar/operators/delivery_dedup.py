@@ -52,6 +52,8 @@ def _components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """
     e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = cut(e)
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -131,7 +133,7 @@ class SeenBitmaps:
         now = self.current()
         if now and now[0] == f"seen-{batch}":
             return False
-        resolved = cut(resolve(identifiers(deliveries, **columns)))
+        resolved = cut(resolve(cut(identifiers(deliveries, **columns))))
         seen = now[1] if now else None
         select_new(resolved, seen).select(F.col("kept").alias("delivery_id")).write.mode("overwrite").parquet(out)
         unite(resolved, seen).write.mode("overwrite").parquet(f"{self.folder}/seen-{batch}")
@@ -152,6 +154,6 @@ def duplicates(deliveries: DataFrame, seen: DataFrame | None = None, **columns:
     Null payloads, offsets and topics give no identifier from them; repeated delivery ids are one delivery if they
     agree. An empty table gives an empty result.
     """
-    resolved = cut(resolve(identifiers(deliveries, **columns)))
+    resolved = cut(resolve(cut(identifiers(deliveries, **columns))))  # payloads are parsed once
     kept = select_new(resolved, seen).select(F.col("kept").alias("delivery_id"))
     return resolved.select("delivery_id").distinct().join(kept, "delivery_id", "left_anti")
