@@ -57,7 +57,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     j = j.withColumn("share", live / F.sum(live).over(every))
     most = F.min(F.col("max_repeats") * F.col("tokens") / F.col("share")).over(every)
     j = j.withColumn("total", F.lit(total_tokens).cast("double") if total_tokens is not None else most)
-    return j.select("source", "target_share", "max_repeats", "docs", "tokens", (F.col("share") * F.col("total")).alias("want_tokens"), F.coalesce(F.least(F.col("max_repeats").cast("double"), F.col("share") * F.col("total") / F.col("tokens")), F.lit(0.0)).alias("copies"))
+    return j.select("source", "target_share", "max_repeats", "docs", "tokens", (F.col("share") * F.col("total")).alias("want_tokens"), F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), F.col("share") * F.col("total") / F.col("tokens"))).otherwise(0.0).alias("copies"))
 
 
 def mix(sizes: DataFrame, plan: DataFrame, doc_id: str = "doc_id", block_rows: int = 50_000, seed: int = 11) -> DataFrame:
