@@ -113,7 +113,7 @@ _two = lambda where, op: f"WITH {EVENTS}, {_cte('count', 'sum', 'sum', ['shard']
 for _n, _op, _expr in (("add", "+", "l1.v + l2.v"), ("sub", "-", "l1.v - l2.v"), ("mul", "*", "l1.v * l2.v"), ("div", "/", "l1.v / nullif(l2.v, 0)")):
     _add(f"metric_arith_{_n}", f"sum:app.event.count{{type:click}} by {{shard}} {_op} sum:app.event.count{{*}} by {{shard}}", _two("type = 'click'", _expr))
 _add("metric_arith_drop_unmatched", "sum:app.event.count{tier:gold} by {shard} / sum:app.event.count{*} by {shard}", _two("tier = 'gold'", "l1.v / nullif(l2.v, 0)"))
-_add("metric_arith_scalar", "-(100 - sum:app.event.count{*} by {shard} * 2)", _sql(_cte("count", "sum", "sum", ["shard"]), "-(100 - v * 2)"))
+_add("metric_arith_scalar", "-(100.5 - sum:app.event.count{*} by {shard} * 2)", _sql(_cte("count", "sum", "sum", ["shard"]), "-(100.5 - v * 2)"))
 _add("metric_constant", "2 * 3 + 1", f"SELECT '*' AS scope, unnest(range({FROM}, {FROM + 30 * DAY}, {DAY})) * 1000 AS ts_ms, 7.0::DOUBLE AS value")
 _add("metric_flagship", "sum:app.event.count{type:click} by {shard}.as_rate()", _sql(_cte("count", "sum", "sum", ["shard"], "type = 'click'"), f"v / {DAY}.0"))
 
