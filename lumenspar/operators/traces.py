@@ -164,13 +164,13 @@ def sample_chunks(chunks: DataFrame, errors_per_s: float = 10, rare_per_s: float
 
     A chunk of priority 1 or more is kept, one of -1 dropped; else an error chunk within the error budget, else the first
     of its signature in rare_ttl_s seconds within the rare budget. Budgets are token buckets of one second's tokens.
-    The state is sequential per host; hosts run in parallel.
+    The state is sequential per host; hosts run in parallel. Chunks stream through in order of time: a task holds one
+    batch and the signatures of the last rare_ttl_s seconds, never a whole host.
     """
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_s", "chunk_id"])
-        tokens, at, seen, out = {"error": errors_per_s, "rare": rare_per_s}, {"error": None, "rare": None}, {}, []
+    def run(batches):
+        host, tokens, at, seen = None, {}, {}, {}
 
         def allow(kind: str, rate: float, t: float) -> bool:
             if at[kind] is not None:
@@ -181,21 +181,28 @@ def sample_chunks(chunks: DataFrame, errors_per_s: float = 10, rare_per_s: float
                 return True
             return False
 
-        for r in pdf.itertuples(index=False):
-            why = ""
-            if r.priority == -1:
-                why = "dropped"
-            elif r.priority >= 1:
-                why = "priority"
-            elif r.error and allow("error", errors_per_s, r.ts_s):
-                why = "error"
-            else:
-                last = seen.get(r.signature)
-                if (last is None or r.ts_s - last > rare_ttl_s) and allow("rare", rare_per_s, r.ts_s):
-                    why = "rare"
-                    seen[r.signature] = r.ts_s
-            out.append((r.host, r.chunk_id, why not in ("", "dropped"), why))
-        return pd.DataFrame(out, columns=["host", "chunk_id", "kept", "why"])
-
-    return chunks.select("host", "chunk_id", "ts_s", "priority", "error", "signature").groupBy("host").applyInPandas(run, "host string, chunk_id bigint, kept boolean, why string")
-
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.host != host:
+                    host, tokens, at, seen = r.host, {"error": errors_per_s, "rare": rare_per_s}, {"error": None, "rare": None}, {}
+                why = ""
+                if r.priority == -1:
+                    why = "dropped"
+                elif r.priority >= 1:
+                    why = "priority"
+                elif r.error and allow("error", errors_per_s, r.ts_s):
+                    why = "error"
+                else:
+                    last = seen.get(r.signature)
+                    if (last is None or r.ts_s - last > rare_ttl_s) and allow("rare", rare_per_s, r.ts_s):
+                        why = "rare"
+                        seen[r.signature] = r.ts_s
+                out.append((r.host, r.chunk_id, why not in ("", "dropped"), why))
+            if out and len(seen) > 100_000:
+                now = pdf.ts_s.iloc[-1]
+                seen = {k: t for k, t in seen.items() if now - t <= rare_ttl_s}
+            yield pd.DataFrame(out, columns=["host", "chunk_id", "kept", "why"])
+
+    d = chunks.select("host", "chunk_id", "ts_s", "priority", "error", "signature").where("host is not null")
+    return d.repartition("host").sortWithinPartitions("host", "ts_s", "chunk_id").mapInPandas(run, "host string, chunk_id bigint, kept boolean, why string")
