@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspar.operators.arrowgroups import map_groups
+from lumenspar.session import cut
 
 # What a reading of a unit can be at all.
 UNIT_LIMITS = {"percent": (0.0, 100.0), "%": (0.0, 100.0), "fraction": (0.0, 1.0), "boolean": (0.0, 1.0), "celsius": (-273.15, math.inf)}
@@ -188,7 +189,7 @@ def decide(tab: pa.Table, start: np.ndarray, least: int, fence: float, longest_r
     return pa.record_batch([pa.array(k, pa.int64()), pa.array(t, pa.int64()), pa.array(v, pa.float64()), pa.array(why, pa.string())], names=["k", "t", "v", "why"])
 
 
-def flag_readings(readings: DataFrame, sources: DataFrame, key: str, t: str = "t", v: str = "v", arrival: str = "arrival", unit: str = "unit", continuous: str = "continuous", least: int = 60, reach: int = 8, longest_run: int = 3, stuck_run: int = 10, fence: float = 4.5, context: int = 120, hot_rows: int = 100_000, segment_rows: int = 50_000) -> DataFrame:
+def flag_readings(readings: DataFrame, sources: DataFrame, key: str, t: str = "t", v: str = "v", arrival: str = "arrival", unit: str = "unit", continuous: str = "continuous", least: int = 60, reach: int = 8, longest_run: int = 3, stuck_run: int = 10, fence: float = 4.5, context: int = 120, hot_rows: int = 100_000, segment_rows: int = 50_000, broadcast_rows: int = 500_000) -> DataFrame:
     """(key, t, v, why) of flagged readings; why is impossible, spike or stuck. One reading may have several reasons.
 
     readings: key BIGINT, t in ms, v, arrival (of rows with the same key and t the earliest is the reading). sources:
@@ -197,17 +198,19 @@ def flag_readings(readings: DataFrame, sources: DataFrame, key: str, t: str = "t
     A source's first and last reading have only one side and are never spikes. Empty tables give an empty result.
     """
     src = readings.select(F.col(key).cast("bigint").alias("k"), F.col(t).cast("bigint").alias("t"), F.nanvl(F.col(v).cast("double"), F.lit(None)).alias("v"), F.col(arrival).cast("bigint").alias("arrival")).where("k is not null and t is not null and v is not null")
-    # at most total / hot_rows sources are hot
     hot = readings.groupBy(F.col(key).cast("bigint").alias("k")).agg(F.count(F.col(v)).alias("rows"), F.min(t).alias("t0"), F.max(t).alias("t1")).where(F.col("rows") > hot_rows)
     hot = hot.select("k", "t0", F.ceil(F.col("rows") / segment_rows).cast("bigint").alias("segs"), F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("rows") / segment_rows))).cast("bigint").alias("width"))
+    hot = cut(hot, "hot")  # counted once, used three times
+    if hot.count() <= broadcast_rows:  # 32 bytes a row; a longer list is joined like any other table
+        hot = F.broadcast(hot)
     seg = F.coalesce(((F.col("t") - F.col("t0") - F.pmod(F.col("t") - F.col("t0"), F.col("width"))) / F.col("width")).cast("bigint"), F.lit(0))
-    rows = src.join(F.broadcast(hot), "k", "left").select("k", seg.alias("seg"), "t", "v", "arrival", F.lit(False).alias("halo"))
-    inside = src.join(F.broadcast(hot), "k").select("k", seg.alias("seg"), "segs", "t", "v", "arrival")
+    rows = src.join(hot, "k", "left").select("k", seg.alias("seg"), "t", "v", "arrival", F.lit(False).alias("halo"))
+    inside = src.join(hot, "k").select("k", seg.alias("seg"), "segs", "t", "v", "arrival")
     w = Window.partitionBy("k", "seg")
     edge = inside.select("*", F.row_number().over(w.orderBy("t", "arrival")).alias("up"), F.row_number().over(w.orderBy(F.desc("t"), F.desc("arrival"))).alias("down")).where(f"up <= {HALO} or down <= {HALO}")
     beside = edge.select("k", "segs", "t", "v", "arrival", F.explode(F.array_compact(F.array(F.when(F.col("up") <= HALO, F.col("seg") - 1), F.when(F.col("down") <= HALO, F.col("seg") + 1)))).alias("seg")).where("seg >= 0 and seg < segs")
     halo = beside.select("k", "seg", "t", "v", "arrival", F.lit(True).alias("halo"))
-    meta = sources.select(F.col(key).cast("bigint").alias("k"), unit_code(F.col(unit), F.coalesce(F.col(continuous), F.lit(False))).cast("double").alias("v")).where("k is not null").join(F.broadcast(hot), "k", "left")
+    meta = sources.select(F.col(key).cast("bigint").alias("k"), unit_code(F.col(unit), F.coalesce(F.col(continuous), F.lit(False))).cast("double").alias("v")).where("k is not null").join(hot, "k", "left")
     meta = meta.select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("segs"), F.lit(1)) - 1)).alias("seg"), F.lit(META_T).cast("bigint").alias("t"), "v", F.lit(None).cast("bigint").alias("arrival"), F.lit(False).alias("halo"))
     step1 = map_groups(rows.unionByName(halo).unionByName(meta), ["k", "seg"], ["t", "arrival", "v"], STEP1, lambda tab, start: scan(tab, start, least, reach, stuck_run, 2.5))
     step2 = map_groups(step1, ["k"], ["what"], "k bigint, t bigint, v double, why string", lambda tab, start: decide(tab, start, least, fence, longest_run, context))
