@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -16,11 +17,13 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.executorEnv.OMP_NUM_THREADS": "1",  # one thread per task; tasks fill the cores
 }
 
 
 def local_session(cores: str | int = "*", memory: str = "8g", **conf: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     b = SparkSession.builder.master(f"local[{cores}]").appName("lumenspar").config("spark.driver.memory", memory)
     for k, v in (DEFAULTS | {"spark.sql.shuffle.partitions": "8"} | conf).items():
         b = b.config(k, v)
@@ -66,3 +69,10 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least two partitions per core, for Python work that is heavy for the bytes it reads: a scan makes as few
+    partitions as its bytes need. For scans and projections; df is shuffled only if it has fewer."""
+    n = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
