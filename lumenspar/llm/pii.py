@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -167,6 +167,9 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
         theta = np.stack([np.einsum("p,plv->lv", w[c], one) + 0.5 for c in (0, 1)])
         # a vote for is never evidence against, a vote against never evidence for, and abstaining is no evidence
         theta /= theta.sum(2, keepdims=True)
+        # labelers are better than chance: a true span is seldom voted against, a false one seldom has context (shapes
+        # propose every candidate, so their votes are free)
+        theta[1, :, 0], theta[0, 2:, 2] = np.minimum(theta[1, :, 0], 0.02), np.minimum(theta[0, 2:, 2], 0.1)
         ratio = np.log(theta[1]) - np.log(theta[0])
         ratio[:, 2], ratio[:, 1], ratio[:, 0] = np.maximum(ratio[:, 2], 0), 0, np.minimum(ratio[:, 0], 0)
         score = np.log(prior[1] / prior[0]) + np.einsum("plv,lv->p", one, ratio)
@@ -221,29 +224,36 @@ class PiiFinder:
     @classmethod
     def fit(cls, texts: DataFrame, sample_rows: int = 20_000, text: str = "text") -> PiiFinder:
         """Vote patterns are counted over all texts; the classifier is fitted on at most `sample_rows` candidate spans:
-        those with the smallest hashes among the first 400 of each pattern in each partition."""
+        of each pattern the 400 with the smallest hashes, whatever the partitions."""
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tally: dict[tuple[str, int], list] = {}
+            tally: dict[tuple[str, int], int] = {}
+            kept: dict[tuple[str, int], dict[int, list[int]]] = {}
             for b in batches:
                 for x in b.column(0).to_pylist():
                     for s in candidates(x):
-                        t = tally.setdefault((s.kind, pattern(s)), [0, []])
-                        t[0] += 1
-                        if len(t[1]) < 400:
-                            t[1].append(features(x, s))
+                        k = s.kind, pattern(s)
+                        tally[k] = tally.get(k, 0) + 1
+                        d = kept.setdefault(k, {})
+                        h = zlib.crc32(f"{s.start}|{x}".encode())
+                        if h not in d:
+                            d[h] = features(x, s)
+                            if len(d) > 800:
+                                kept[k] = dict(sorted(d.items())[:400])
             if tally:
-                flat = [(k, p, n, f) for (k, p), (n, fs) in tally.items() for n, f in [(n, None), *((0, f) for f in fs)]]
-                kind, pat, n, feat = zip(*flat, strict=True)
-                yield pa.record_batch([pa.array(kind), pa.array(pat, pa.int64()), pa.array(n, pa.int64()), pa.array(feat, pa.list_(pa.int32()))], names=["kind", "pattern", "n", "features"])
+                flat = [(k, p, n, None, None) for (k, p), n in tally.items()] + [(k, p, 0, h, f) for (k, p), d in kept.items() for h, f in sorted(d.items())[:400]]
+                kind, pat, n, h, feat = zip(*flat, strict=True)
+                yield pa.record_batch([pa.array(kind), pa.array(pat, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(feat, pa.list_(pa.int32()))], names=["kind", "pattern", "n", "h", "features"])
 
         from lumenspar.session import cut
 
-        got = cut(texts.select(text).mapInArrow(scan, "kind string, pattern bigint, n bigint, features array<int>"))
+        got = cut(texts.select(text).mapInArrow(scan, "kind string, pattern bigint, n bigint, h bigint, features array<int>"))
         counts: dict[str, dict[int, int]] = {k: {} for k in KINDS}
         for r in got.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect():  # at most 3 ** 5 patterns a kind
             counts[r["kind"]][r["pattern"]] = r["n"]
         reliability = {k: estimate(c) for k, c in counts.items()}
-        rows = got.where("features is not null").orderBy(F.xxhash64("kind", "pattern", "features"), "features").limit(sample_rows).select("kind", "pattern", "features").collect()
+        rank = F.row_number().over(Window.partitionBy("kind", "pattern").orderBy("h"))  # at most 400 rows per partition and pattern
+        own = got.where("h is not null").dropDuplicates(["kind", "pattern", "h"]).withColumn("r", rank).where("r <= 400")
+        rows = own.orderBy("h", "kind", "pattern").limit(sample_rows).select("kind", "pattern", "features").collect()
         return cls(train([(list(r["features"]), reliability[r["kind"]][r["pattern"]]) for r in rows]), reliability)
 
     def find(self, text: str) -> list[Span]:
