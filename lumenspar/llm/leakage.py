@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenspar.operators.arrowgroups import map_groups
+
 _BREAK = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|pre|blockquote)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
@@ -149,7 +151,13 @@ class LeakFinder:
             at = np.flatnonzero(np.abs(z).sum(1))
             yield pa.record_batch([pa.array(at), pa.FixedSizeListArray.from_arrays(pa.array(z[at].ravel()), rank).cast(pa.list_(pa.float32()))], names=["dim", "z"])
 
-        parts = src.mapInArrow(share, "dim bigint, z array<float>").select("dim", F.posexplode("z").alias("j", "v")).groupBy("dim", "j").agg(F.sum("v").alias("v")).groupBy("dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("z"))
+        def add(tab: pa.Table, start: np.ndarray) -> pa.RecordBatch:
+            z = tab.column("z").combine_chunks()
+            rows = (z.chunk(0) if isinstance(z, pa.ChunkedArray) else z).flatten().to_numpy().reshape(-1, rank)
+            total = np.add.reduceat(rows, start, axis=0) if len(start) else rows[:0]
+            return pa.record_batch([pa.array(tab.column("dim").to_numpy()[start]), pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), rank).cast(pa.list_(pa.float32()))], names=["dim", "z"])
+
+        parts = map_groups(src.mapInArrow(share, "dim bigint, z array<float>"), ["dim"], [], "dim bigint, z array<float>", add)
         z = np.zeros((DIM, rank), np.float32)
         for r in parts.toLocalIterator():  # at most DIM rows of rank numbers
             z[r["dim"]] = r["z"]

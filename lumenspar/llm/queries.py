@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspar.llm import leakage, mixing, pii, sentences
+from lumenspar.session import cut, spread
 from lumenspar.sources.tables import table
 
 
@@ -14,7 +15,7 @@ def _winston(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = pii.fields(_winston(spark, d))
+    texts = cut(spread(pii.fields(_winston(spark, d))))  # read twice: to fit and to find
     return pii.PiiFinder.fit(texts).spans(texts).select("seq", "field", "kind").distinct()
 
 
@@ -24,14 +25,21 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.PiiFinder.fit(pii.fields(logs)).redact(logs)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """All documents' texts, spread over the cores once for the three passes over them."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    wide = spread(docs)
+    return docs if wide is docs else cut(wide)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = _texts(spark, d)
     return leakage.LeakFinder.fit(docs, table(spark, d, "eval_items")).verbatim(docs)
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Leaking documents and items with similarity, common words and answer, paraphrases included."""
-    docs = table(spark, d, "documents")
+    docs = _texts(spark, d)
     return leakage.LeakFinder.fit(docs, table(spark, d, "eval_items")).report(docs)
 
 
@@ -50,7 +58,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split_sentences(table(spark, d, "documents").where("source is not null and source <> 'crawl'"))
+    return sentences.split_sentences(spread(table(spark, d, "documents").where("source is not null and source <> 'crawl'").select("doc_id", "text")))
 
 
 def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
