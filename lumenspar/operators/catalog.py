@@ -97,14 +97,27 @@ def cap_values(df: DataFrame, group: list[str], value: str, order: str, cap: int
     return df.alias("d").join(keep.alias("k"), cond, "left").select(*(F.when(F.col("k._own"), F.col(f"d.{c}")).otherwise(F.lit(other)).alias(c) if c == value else F.col(f"d.{c}") for c in df.columns))
 
 
-def append_only(samples: DataFrame, arrival: str = "arrival") -> DataFrame:
+def append_only(samples: DataFrame, arrival: str = "arrival", offset: str | None = None, block: int = 32768) -> DataFrame:
     """samples with `outcome`: stored if newer than all that arrived before in the series, duplicate if it repeats the
-    newest (t, v), else rejected."""
-    w = Window.partitionBy("series_key").orderBy(arrival)
-    newest = F.max(F.struct("ts_s", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1))["ts_s"]
-    d = samples.withColumn("_t", newest).withColumn("_s", F.coalesce(F.col("ts_s") > F.col("_t"), F.lit(True)))
-    last_v = F.last(F.when(F.col("_s"), F.col("value")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return d.withColumn("outcome", F.when(F.col("_s"), "stored").when((F.col("ts_s") == F.col("_t")) & (F.col("value") == last_v), "duplicate").otherwise("rejected")).drop("_t", "_s")
+    newest (t, v), else rejected.
+
+    offset: an integer that never falls as arrival rises (default: arrival, if it is one). A series is worked in blocks
+    of `block` offsets; a block begins with one row that carries the newest (t, v) of the blocks before it, so no task
+    holds a whole hot series. Without an offset a series is one block.
+    """
+    if offset is None and samples.select(arrival).schema[0].dataType.typeName() in ("byte", "short", "integer", "long"):
+        offset = arrival
+    at = F.coalesce(F.floor(F.col(offset) / block), F.lit(-1)).cast("bigint") if offset else F.lit(0).cast("bigint")  # nulls sort first
+    # the smallest of these is the first to arrive with the newest time
+    own = F.when(F.col("ts_s").isNotNull(), F.struct((-F.col("ts_s")).alias("n"), F.col(arrival).alias("a"), F.col("value").alias("v")))
+    d = samples.withColumn("_block", at).withColumn("_own", own)
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = d.groupBy("series_key", "_block").agg(F.min("_own").alias("_own"))
+    carried = blocks.select("series_key", "_block", F.min("_own").over(before("series_key").orderBy("_block")).alias("_own")).where("_own is not null")
+    u = d.withColumn("_row", F.lit(True)).unionByName(carried.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+    u = u.withColumn("_new", F.min("_own").over(before("series_key", "_block").orderBy("_row", arrival))).where("_row")
+    same = (F.col("ts_s") == -F.col("_new.n")) & (F.col("value") == F.col("_new.v"))
+    return u.withColumn("outcome", F.when(F.coalesce(F.col("ts_s") > -F.col("_new.n"), F.lit(True)), "stored").when(same, "duplicate").otherwise("rejected")).drop("_block", "_own", "_row", "_new")
 
 
 def last_write(df: DataFrame, keys: list[str], arrival: str) -> DataFrame:

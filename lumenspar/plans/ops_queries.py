@@ -57,7 +57,7 @@ _q("type_conflict", lambda s, d: catalog.type_conflicts(table(s, d, "events").se
 _q("tag_rules", lambda s, d: catalog.apply_tag_rules(adapters.metric_samples(s, d), s.createDataFrame([("app.event.count", "deny", ["shard"]), ("app.event.value", "allow", ["type"])], "metric string, mode string, keys array<string>")).groupBy("metric", "series_key").agg(F.count("*").alias("n")), f"WITH {EVENTS}, s AS (SELECT * FROM ({SAMPLES['count']})) SELECT 'app.event.count' AS metric, 'app.event.count|' || coalesce('tier:' || tier || ',', '') || 'type:' || type AS series_key, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'app.event.value', 'app.event.value|type:' || type, count(*) FROM s GROUP BY ALL UNION ALL SELECT 'app.event.rate', 'app.event.rate|shard:' || shard || coalesce(',tier:' || tier, '') || ',type:' || type, count(*) FROM s GROUP BY ALL")
 _q("series_limit", lambda s, d: catalog.series_limit(adapters.metric_samples(s, d).where("metric = 'app.event.count'"), 3, DAY).groupBy("accepted").agg(F.count("*").alias("n")), f"WITH {EVENTS}, s AS ({SAMPLES['count']}), k AS (SELECT 'app.event.count|shard:' || shard || coalesce(',tier:' || tier, '') || ',type:' || type AS key, ts_s, ts_s // {DAY} AS w FROM s), f AS (SELECT w, key, row_number() OVER (PARTITION BY w ORDER BY min(ts_s), key) <= 3 AS accepted FROM k GROUP BY w, key) SELECT accepted, count(*) AS n FROM k JOIN f USING (w, key) GROUP BY accepted")
 _q("name_cap", lambda s, d: catalog.cap_values(table(s, d, "lineitem").select("l_returnflag", F.concat(F.lit("r"), (F.col("l_partkey") % 50).cast("string")).alias("res"), F.col("l_orderkey").alias("t")), ["l_returnflag"], "res", "t", 10, "other").groupBy("l_returnflag", "res").agg(F.count("*").alias("n")), "WITH x AS (SELECT l_returnflag, 'r' || (l_partkey % 50) AS res, l_orderkey AS t FROM lineitem), f AS (SELECT l_returnflag, res, row_number() OVER (PARTITION BY l_returnflag ORDER BY min(t), res) <= 10 AS own FROM x GROUP BY l_returnflag, res) SELECT l_returnflag, CASE WHEN own THEN res ELSE 'other' END AS res, count(*) AS n FROM x JOIN f USING (l_returnflag, res) GROUP BY ALL")
-_q("dedupe_append_only", lambda s, d: catalog.append_only(table(s, d, "samples").where("v is not null").select(F.col("series_id").alias("series_key"), (F.col("t") / 1000).cast("bigint").alias("ts_s"), F.col("v").alias("value"), F.struct("rec_offset", "t", "v").alias("arrival")).where("series_key > 1")).groupBy("outcome").agg(F.count("*").alias("n")))
+_q("dedupe_append_only", lambda s, d: catalog.append_only(table(s, d, "samples").where("v is not null").select(F.col("series_id").alias("series_key"), (F.col("t") / 1000).cast("bigint").alias("ts_s"), F.col("v").alias("value"), F.struct("rec_offset", "t", "v").alias("arrival")), offset="arrival.rec_offset").groupBy("outcome").agg(F.count("*").alias("n")))
 _q("sketch_last_write", lambda s, d: catalog.last_write(table(s, d, "events").select("user_id", "event_type", "value", "event_id"), ["user_id"], "event_id"), "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id")
 _q("log_redelivery", lambda s, d: catalog.new_logs(x := adapters.event_logs(s, d), x.where("seq % 3 = 0")).select("seq"), "SELECT event_id AS seq FROM events WHERE event_id % 3 <> 0")
 _q("retention_logs_day", lambda s, d: catalog.retain_days(adapters.event_logs(s, d), "ts", 1_706_000_000_000, 7).groupBy("service").agg(F.count("*").alias("n")), "SELECT 'svc-' || (user_id % 4) AS service, count(*) AS n FROM events WHERE epoch_us(ts) // 1000 >= (1706000000000 // 86400000 - 7) * 86400000 GROUP BY ALL")

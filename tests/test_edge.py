@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenspar.operators import catalog, edge, pipeline, traces, wire
+from lumenspar.plans import ops_queries
 from lumenspar.sources.openmetrics import demux_docker, info_fields, parse_page, parse_pages, scrape_to_samples
 
 
@@ -140,3 +141,28 @@ def test_append_only_brute_force(spark):
         if want == "stored":
             newest[k] = (t, v)
         assert got[a] == want
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_append_only_carries_the_newest_over_blocks(spark, block):
+    rng = random.Random(block)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "s"]), min(i // 4, 60) - rng.randrange(4), float(rng.randrange(2)), (None if i < 5 else i // 2, i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "series_key string, ts_s bigint, value double, arrival struct<o:bigint,i:bigint>")
+    out = catalog.append_only(df, offset="arrival.o", block=block)
+    assert out.columns == [*df.columns, "outcome"]
+    got = {r["arrival"]["i"]: r["outcome"] for r in out.collect()}
+    newest, want = {}, {}
+    for k, t, v, (_, i) in rows:
+        n = newest.get(k)
+        want[i] = "stored" if n is None or t > n[0] else "duplicate" if (t, v) == n else "rejected"
+        if want[i] == "stored":
+            newest[k] = (t, v)
+    assert got == want
+    assert set(want.values()) == {"stored", "duplicate", "rejected"}
+
+
+def test_dedupe_append_only_counts_every_series(spark, tmp_path):
+    rows = [(1, 1000, 1.0, 0), (1, 1000, 1.0, 40_000), (1, 500, 2.0, 40_001), (1, 9000, None, 3), (2, 1000, 1.0, 1), (0, 1000, 1.0, 1)]
+    spark.createDataFrame(rows, "series_id bigint, t bigint, v double, rec_offset bigint").write.parquet(str(tmp_path / "samples.parquet"))
+    got = {r["outcome"]: r["n"] for r in ops_queries.Q["dedupe_append_only"](spark, str(tmp_path)).collect()}
+    assert got == {"stored": 3, "duplicate": 1, "rejected": 1}
