@@ -6,6 +6,9 @@ code; an identifier that isn't a non-negative number gets a shard of its own. Co
 one row per (shard, bucket). A batch is resolved into messages (deliveries linked by any identifier, also through a
 third), a message is new if none of its identifiers' bits is set, one delivery of each new message is selected, and the
 new bits are united into the next version of the bitmaps, which a rename makes current.
+
+A whole table is resolved as one batch without bitmaps (`duplicates`). Batches one after another give other rows where a
+later one brings the first whole copy of a message, a smaller delivery_id or a link between messages kept before.
 """
 
 from __future__ import annotations

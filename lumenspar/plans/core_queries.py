@@ -112,6 +112,7 @@ def p6_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Over the whole table, by components; without the seen-bitmaps, which can't take back what a batch before kept."""
     return delivery_dedup.duplicates(table(spark, d, "queue_records"))
 
 

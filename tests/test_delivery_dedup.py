@@ -70,5 +70,18 @@ def test_batches_and_redelivered_batch(spark, tmp_path):
     assert (read("o1"), read("o2")) == ([1, 3], [6, 7])
 
 
+def test_batches_keep_what_came_first_where_the_table_keeps_the_whole_copy(spark, tmp_path):
+    j = lambda n: json.dumps({"producer": "a", "epoch": 0, "pseq": n})
+    one = [(5, "x", 1, "{", ""), (6, "x", 2, j(2), ""), (7, "x", 3, j(3), "")]
+    two = [(8, "x", 1, j(1), ""), (9, "x", 2, j(3), "")]  # the first whole copy of offset 1; a link of offsets 2 and 3
+    s = SeenBitmaps(spark, str(tmp_path / "seen"))
+    for n, rows in enumerate((one, two)):
+        assert s.process(spark.createDataFrame(rows, SCHEMA), str(n), str(tmp_path / f"o{n}"))
+    kept = {r[0] for n in (0, 1) for r in spark.read.parquet(str(tmp_path / f"o{n}")).collect()}
+    assert kept == {5, 6, 7}
+    dups = {r[0] for r in duplicates(spark.createDataFrame(one + two, SCHEMA)).collect()}
+    assert dups == brute(one + two) == {5, 7, 9}
+
+
 def test_empty(spark):
     assert duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
