@@ -9,9 +9,10 @@ A reading is flagged as
 Levels, slopes and daily cycles move both medians, so they never count as spikes.
 
 Quantiles come from sketches: logarithmic bins of the steps per source and hour of day, built per partition, merged by
-adding. Step 1 sees each source once, in order of time (a source with more than `hot_rows` rows is cut into time
-segments, each with a halo of the readings beside it), and emits partial sketches and loose candidates; step 2 merges the
-sketches of a source and decides. Nothing else is shuffled twice, and no task holds a whole hot source.
+adding. Step 1 sees each source once, in order of time (a source with more than `hot_rows` rows is cut into segments of
+`segment_rows` readings, each with a halo of the readings next in time, however far), and emits partial sketches and
+loose candidates; step 2 merges the sketches of a source and decides. Only hot sources are shuffled more often, to number
+their readings, and no task holds a whole one.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ UNITS = [*UNIT_LIMITS, "other"]
 GAMMA = 1.08
 HALO = 32
 META_T = -(2**63)
+CUT = 1000  # added to the code of a source that is cut into segments
 
 
 def unit_code(unit: Column, continuous: Column) -> Column:
@@ -88,6 +90,8 @@ def scan(tab: pa.Table, start: np.ndarray, least: int, reach: int, stuck_run: in
     is_meta = t == META_T
     code = np.full(len(start), -1)
     code[g[is_meta]] = v[is_meta].astype(int)
+    segment = code >= CUT
+    code[segment] -= CUT
     keep = ~is_meta
     keep[1:] &= (t[1:] != t[:-1]) | (g[1:] != g[:-1])
     keep &= code[g] >= 0  # readings of no known source
@@ -104,7 +108,7 @@ def scan(tab: pa.Table, start: np.ndarray, least: int, reach: int, stuck_run: in
     c = code[g]
     emit(IMPOSSIBLE, np.flatnonzero(~halo & ((v < lo[c]) | (v > hi[c]))))
     whole = np.bincount(g, minlength=len(start))
-    live = (c % 2 == 1) & (whole[g] >= min(least, 2 * stuck_run))
+    live = (c % 2 == 1) & (segment[g] | (whole[g] >= least))  # of a segment, only step 2 knows how many its source has
     if live.any():
         t, v, halo, k, g = t[live], v[live], halo[live], k[live], g[live]
         same = np.zeros(len(g), bool)
@@ -189,6 +193,25 @@ def decide(tab: pa.Table, start: np.ndarray, least: int, fence: float, longest_r
     return pa.record_batch([pa.array(k, pa.int64()), pa.array(t, pa.int64()), pa.array(v, pa.float64()), pa.array(why, pa.string())], names=["k", "t", "v", "why"])
 
 
+def _segments(hot: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(k, seg, t, v, arrival, halo) of the rows of hot sources, and (k, segs): segments of `size` readings by time, each
+    with the HALO readings before and after it. Rows with the same k and t are one reading.
+
+    Readings are numbered without a task that holds a whole source: ranges of (k, t) are numbered each by itself, and a
+    prefix sum over one row per range makes the numbers go on.
+    """
+    ranges = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(cut(hot, "hot_rows").repartitionByRange(ranges, "k", "t").withColumn("range", F.spark_partition_id()), "ranged")  # a range's number holds for one execution, hence the cut
+    per = cut(ranged.groupBy("k", "range").agg(F.count_distinct("t").alias("n")), "ranges")
+    first = per.select("k", "range", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    segs = per.groupBy("k").agg(F.ceil(F.sum("n") / size).cast("bigint").alias("segs"))
+    at = F.col("first") + F.dense_rank().over(Window.partitionBy("k", "range").orderBy("t")) - 1
+    r = ranged.join(first.join(segs, "k"), ["k", "range"]).withColumn("at", at).withColumn("own", F.floor(F.col("at") / size).cast("bigint")).withColumn("off", F.pmod("at", F.lit(size)))
+    place = lambda d, halo: F.struct((F.col("own") + d).alias("seg"), F.lit(halo).alias("halo"))
+    places = F.array_compact(F.array(place(0, False), F.when(F.col("off") < HALO, place(-1, True)), F.when(F.col("off") >= size - HALO, place(1, True))))
+    return r.select("k", "segs", "t", "v", "arrival", F.explode(places).alias("p")).where("p.seg >= 0 and p.seg < segs").select("k", "p.seg", "t", "v", "arrival", "p.halo"), segs
+
+
 def flag_readings(readings: DataFrame, sources: DataFrame, key: str, t: str = "t", v: str = "v", arrival: str = "arrival", unit: str = "unit", continuous: str = "continuous", least: int = 60, reach: int = 8, longest_run: int = 3, stuck_run: int = 10, fence: float = 4.5, context: int = 120, hot_rows: int = 100_000, segment_rows: int = 50_000, broadcast_rows: int = 500_000) -> DataFrame:
     """(key, t, v, why) of flagged readings; why is impossible, spike or stuck. One reading may have several reasons.
 
@@ -198,21 +221,18 @@ def flag_readings(readings: DataFrame, sources: DataFrame, key: str, t: str = "t
     A source's first and last reading have only one side and are never spikes. Empty tables give an empty result.
     """
     src = readings.select(F.col(key).cast("bigint").alias("k"), F.col(t).cast("bigint").alias("t"), F.nanvl(F.col(v).cast("double"), F.lit(None)).alias("v"), F.col(arrival).cast("bigint").alias("arrival")).where("k is not null and t is not null and v is not null")
-    hot = readings.groupBy(F.col(key).cast("bigint").alias("k")).agg(F.count(F.col(v)).alias("rows"), F.min(t).alias("t0"), F.max(t).alias("t1")).where(F.col("rows") > hot_rows)
-    hot = hot.select("k", "t0", F.ceil(F.col("rows") / segment_rows).cast("bigint").alias("segs"), F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("rows") / segment_rows))).cast("bigint").alias("width"))
-    hot = cut(hot, "hot")  # counted once, used three times
-    if hot.count() <= broadcast_rows:  # 32 bytes a row; a longer list is joined like any other table
+    hot = cut(src.groupBy("k").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows).select("k"), "hot")
+    many = hot.count()
+    if 0 < many <= broadcast_rows:  # 16 bytes a row; a longer list is joined like any other table
         hot = F.broadcast(hot)
-    seg = F.coalesce(((F.col("t") - F.col("t0") - F.pmod(F.col("t") - F.col("t0"), F.col("width"))) / F.col("width")).cast("bigint"), F.lit(0))
-    rows = src.join(hot, "k", "left").select("k", seg.alias("seg"), "t", "v", "arrival", F.lit(False).alias("halo"))
-    inside = src.join(hot, "k").select("k", seg.alias("seg"), "segs", "t", "v", "arrival")
-    w = Window.partitionBy("k", "seg")
-    edge = inside.select("*", F.row_number().over(w.orderBy("t", "arrival")).alias("up"), F.row_number().over(w.orderBy(F.desc("t"), F.desc("arrival"))).alias("down")).where(f"up <= {HALO} or down <= {HALO}")
-    beside = edge.select("k", "segs", "t", "v", "arrival", F.explode(F.array_compact(F.array(F.when(F.col("up") <= HALO, F.col("seg") - 1), F.when(F.col("down") <= HALO, F.col("seg") + 1)))).alias("seg")).where("seg >= 0 and seg < segs")
-    halo = beside.select("k", "seg", "t", "v", "arrival", F.lit(True).alias("halo"))
-    meta = sources.select(F.col(key).cast("bigint").alias("k"), unit_code(F.col(unit), F.coalesce(F.col(continuous), F.lit(False))).cast("double").alias("v")).where("k is not null").join(hot, "k", "left")
-    meta = meta.select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("segs"), F.lit(1)) - 1)).alias("seg"), F.lit(META_T).cast("bigint").alias("t"), "v", F.lit(None).cast("bigint").alias("arrival"), F.lit(False).alias("halo"))
-    step1 = map_groups(rows.unionByName(halo).unionByName(meta), ["k", "seg"], ["t", "arrival", "v"], STEP1, lambda tab, start: scan(tab, start, least, reach, stuck_run, 2.5))
+    rows = (src.join(hot, "k", "left_anti") if many else src).select("k", F.lit(0).cast("bigint").alias("seg"), "t", "v", "arrival", F.lit(False).alias("halo"))
+    meta = sources.select(F.col(key).cast("bigint").alias("k"), unit_code(F.col(unit), F.coalesce(F.col(continuous), F.lit(False))).cast("double").alias("v")).where("k is not null")
+    meta = meta.select("k", F.lit(0).cast("bigint").alias("seg"), F.lit(META_T).cast("bigint").alias("t"), "v", F.lit(None).cast("bigint").alias("arrival"), F.lit(False).alias("halo"))
+    if many:
+        parts, sizes = _segments(src.join(hot, "k"), max(segment_rows, HALO))
+        rows = rows.unionByName(parts)
+        meta = meta.join(F.broadcast(sizes) if many <= broadcast_rows else sizes, "k", "left").select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("segs", F.lit(1)) - 1)).alias("seg"), "t", F.when(F.col("segs").isNotNull(), F.col("v") + CUT).otherwise(F.col("v")).alias("v"), "arrival", "halo")
+    step1 = map_groups(rows.unionByName(meta), ["k", "seg"], ["t", "arrival", "v"], STEP1, lambda tab, start: scan(tab, start, least, reach, stuck_run, 2.5))
     step2 = map_groups(step1, ["k"], ["what"], "k bigint, t bigint, v double, why string", lambda tab, start: decide(tab, start, least, fence, longest_run, context))
     return step2.withColumnRenamed("k", key).withColumnRenamed("t", t)
 

@@ -58,6 +58,23 @@ def test_hot_source_is_split_without_losing_anything(spark):
     assert {t // 10_000 for _, t, w in whole if w == "stuck"} >= set(range(1491, 1511)) - set(hits)
 
 
+def test_hot_source_with_outages_and_sparse_stretches(spark):
+    rng = random.Random(4)
+    t, a = 0, []
+    for i in range(1600):  # bursts, long outages, and from 1200 on readings far apart
+        t += 50_000_000 if i in (400, 801) else 2_000_000 if i >= 1200 else 10_000
+        a.append((1, t, 50 + rng.gauss(0, 1), i))
+    for i in (400, 401, 700, 801, 802, 803, 1250, 1300, 1301, 1599):  # at restart, in a row, in a sparse stretch, at the end
+        a[i] = (*a[i][:2], 5000.0, i)
+    for i in range(1400, 1412):
+        a[i] = (*a[i][:2], 50.25, i)
+    rows = a + [(1, a[i][1], 9000.0, 5000 + i) for i in range(0, 1600, 7)]  # copies that came later aren't readings
+    n = {x[1]: i for i, x in enumerate(a)}
+    for o in ({}, {"hot_rows": 500, "segment_rows": 100}, {"hot_rows": 500, "segment_rows": 33}, {"hot_rows": 500, "segment_rows": 1}):
+        got = {(n[x], w) for _, x, w in flags(spark, rows, [(1, "watt", True)], **o)}
+        assert got == {(i, "spike") for i in (400, 401, 700, 801, 802, 803, 1250, 1300, 1301)} | {(i, "stuck") for i in range(1400, 1412)}, o
+
+
 def test_groups(spark):
     rng = random.Random(3)
     rows = [(1, f"g{i}", rng.gauss(100, 5), "watt", False) for i in range(500)] + [(1, "low", 1.0, "watt", False), (1, "neg", -5.0, "watt", False), (1, "hot", 1e6, "watt", False), (2, "q", 1e9, "job", True), (2, "n", -1.0, "job", True), (1, "none", None, "watt", False), (1, "hot", 1e6, "watt", False)]
