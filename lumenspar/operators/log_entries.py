@@ -1,7 +1,7 @@
 """Log lines of different programs into entries with timestamp, level, component and message.
 
 Literal routing: an Aho-Corasick automaton over the layouts' anchor literals scans each line once and retrieves the
-layouts that can apply; their anchored expressions, most specific first, verify the line and extract its fields. A line
+layouts (`layouts.py`) that can apply; their anchored expressions, most specific first, verify the line and extract its fields. A line
 without a header joins its predecessor; lines that carry a request id form one entry per id, however interleaved.
 
 Files are cut into blocks of lines. A block's lines find their entry within the block; lines before a block's first
@@ -21,42 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspar.operators.layouts import COMPONENT_FIELDS, LAYOUTS, LEVEL_FIELDS, TIME_FIELDS, Layout, compiled, value
 from lumenspar.session import cut
 
-# Level names, layouts and zones of the log formats read here.
+# Level names, zones and JSON keys of the log formats read here.
 LEVELS = {
     "DEBUG": "debug", "DEBUG1": "debug", "DEBUG2": "debug", "DEBUG3": "debug", "DEBUG4": "debug", "DEBUG5": "debug", "SILLY": "debug", "20": "debug", ".": "debug", "-": "debug",
     "WARN": "warn", "WARNING": "warn", "40": "warn", "#": "warn",
     "ERROR": "error", "50": "error",
     "CRITICAL": "critical", "FATAL": "critical", "PANIC": "critical", "60": "critical",
 }
-PYTHON_LEVELS = ("DEBUG", "INFO", "WARNING", "WARN", "ERROR", "CRITICAL", "FATAL")
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 ZONES = {"UTC": 0, "GMT": 0, "Z": 0, "CET": 1}
 LEVEL_KEYS = ("level", "levelname", "severity")
 TIME_KEYS = ("timestamp", "time", "ts", "@timestamp")
 MESSAGE_KEYS = ("message", "msg")
 
-_DATE = r"(?P<timestamp>\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?"
-_PY = "|".join(PYTHON_LEVELS)
-# layout -> (sources, anchor literals of which the line holds at least one, expression)
-LAYOUTS: dict[str, tuple[tuple[str, ...], tuple[str, ...], re.Pattern[str]]] = {
-    "access": (("python",), (' - "',), re.compile(r'(?P<level>[A-Z]+):\s+(?:[0-9.]+|\[[0-9a-fA-F:]+\]):\d+ - (?P<message>"[A-Z]+ \S+ HTTP/[0-9.]+" \d{3}(?: .*)?)$', re.S)),
-    "server": (("python",), tuple(f"{x}:" for x in PYTHON_LEVELS), re.compile(rf"(?P<level>{_PY}):\s+(?P<message>.*)$", re.S)),
-    "dated": (("python",), tuple(f" {x} " for x in PYTHON_LEVELS), re.compile(rf"{_DATE}(?:Z|[+-]\d\d:?\d\d)?) (?P<level>{_PY}) (?P<component>[\w.\-]+) (?P<message>.*)$", re.S)),
-    "named": (("python",), tuple(f"{x} " for x in PYTHON_LEVELS), re.compile(rf"(?P<level>{_PY}) (?P<component>[\w.\-]+) (?P<message>.*)$", re.S)),
-    "colons": (("python",), tuple(f"{x}:" for x in PYTHON_LEVELS), re.compile(rf"(?P<level>{_PY}):(?P<component>[\w.\-]+):(?P<message>.*)$", re.S)),
-    "clock": (("python",), (": ",), re.compile(r"\d{2}:\d{2}:\d{2}: +(?P<message>.*)$", re.S)),
-    "sidekiq": (("sidekiq",), (" pid=",), re.compile(r"(?P<timestamp>\S+) pid=\d+ tid=\S+(?: class=(?P<component>\S+))?(?: jid=\S+)?(?: elapsed=[0-9.]+)? (?P<level>[A-Z]+): (?P<message>.*)$", re.S)),
-    "postgres": (("postgres",), ("] ",), re.compile(rf"{_DATE}(?: (?P<zone>[A-Z]{{1,5}}))?) \[\d+\](?: [^@\s]+@(?P<component>\S+))? (?P<level>[A-Z]+[0-9]?):\s+(?P<message>.*)$", re.S)),
-    "redis": (("redis",), (":X ", ":C ", ":S ", ":M "), re.compile(r"\d+:(?P<component>[XCSM]) (?P<timestamp>\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}(?:\.\d+)?) (?P<level>[.\-*#]) (?P<message>.*)$", re.S)),
-    "request": (("rails",), ("[",), re.compile(r"\[(?P<request>[0-9a-fA-F][0-9a-fA-F-]{7,})\] ?(?P<message>.*)$", re.S)),
-    "object": (("python", "winston", "sidekiq", "postgres", "redis", "rails", ""), ("{",), re.compile(r"(?P<object>\{.*\})\s*$", re.S)),
-}
-STARTED = re.compile(r"Started [A-Z]+ .* at (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} [+-]\d{4})\s*$", re.S)
-CONTROLLER = re.compile(r"Processing by ([A-Z][\w:]*)#\w+")
-COMPLETED = re.compile(r"Completed (\d{3})\b")
-EXCEPTION = re.compile(r"[A-Z]\w*(?:::[A-Z]\w*)* \(.*\):\s*$", re.S)
+OBJECT_COMPONENT = {"python": "logger", "winston": "tag"}
 
 
 def level_of(name: object) -> str:
@@ -96,57 +77,64 @@ def epoch_ms(x: object) -> int:
 
 
 class Router:
-    """Aho-Corasick over all anchors; candidates per source in the order of LAYOUTS."""
+    """Aho-Corasick over the anchors of all layouts; a line's candidates are verified in the order of LAYOUTS."""
 
     def __init__(self) -> None:
-        bits = {name: 1 << i for i, name in enumerate(LAYOUTS)}
-        masks: dict[str, int] = {}
-        for name, (_, anchors, _) in LAYOUTS.items():
-            for a in anchors:
-                masks[a] = masks.get(a, 0) | bits[name]
+        self.of: dict[str, list[tuple[int, Layout, re.Pattern[str], dict[str, str]]]] = {}
+        masks: dict[str, int] = {"{": 1}  # bit 0: a JSON object
+        for i, x in enumerate(LAYOUTS, 1):
+            self.of.setdefault(x.source, []).append((1 << i, x, *compiled(x.format)))
+            for a in x.anchors:
+                masks[a] = masks.get(a, 0) | 1 << i
         self.automaton = ahocorasick.Automaton()
         for a, m in masks.items():
             self.automaton.add_word(a, m)
         self.automaton.make_automaton()
-        known = {s for sources, _, _ in LAYOUTS.values() for s in sources}
-        self.of = {s: [(bits[n], n, x[2]) for n, x in LAYOUTS.items() if s in x[0]] for s in known}
 
     def parse(self, source: str | None, line: str) -> dict | None:
         """The fields of a header line, or None for a line that continues an entry."""
         found = 0
         for _, m in self.automaton.iter(line):
             found |= m
-        if not found:
-            return None
-        for bit, name, rx in self.of.get(source or "", self.of[""]):
+        for bit, layout, rx, kinds in self.of.get(source or "", ()) if found else ():
             if found & bit and (m := rx.match(line)):
-                f = m.groupdict()
-                if name == "object":
-                    try:
-                        o = json.loads(f["object"])
-                    except (ValueError, RecursionError):
-                        continue
-                    first = lambda keys, o=o: next((o[k] for k in keys if k in o), None)
-                    comp = o.get({"python": "logger", "winston": "tag"}.get(source or "", ""))
-                    msg = first(MESSAGE_KEYS)
-                    return {"level": level_of(first(LEVEL_KEYS)), "component": comp if isinstance(comp, str) else "", "ts": epoch_ms(first(TIME_KEYS)), "message": msg if isinstance(msg, str) else line}
-                if name == "request":
-                    msg = f["message"]
-                    out = {"request": f["request"], "message": msg, "level": "info", "component": "", "ts": 0}
-                    if m := STARTED.match(msg):
-                        out["ts"] = epoch_ms(m[1])
-                    elif m := CONTROLLER.match(msg):
-                        out["component"] = m[1]
-                    elif m := COMPLETED.match(msg):
-                        out["code"] = int(m[1])
-                    elif EXCEPTION.match(msg):
-                        out["failed"] = True
-                    return out
-                ts = epoch_ms(f.get("timestamp"))
-                if name == "sidekiq" and not ts:
-                    continue
-                return {"level": level_of(f.get("level")), "component": f.get("component") or "", "ts": ts, "message": f.get("message") or ""}
-        return None
+                f = {k: value(x, kinds[k]) for k, x in m.groupdict().items() if x is not None}
+                if layout.source == "rails":
+                    return self._request(f)
+                first = lambda names, f=f: next((f[n] for n in names if n in f), None)
+                ts = epoch_ms(first(TIME_FIELDS))
+                if "utc" in f and not ts:
+                    continue  # any word can stand where sidekiq's time does
+                if "method" in f:
+                    f["message"] = line[m.end("port") + 3 :]
+                return {"level": level_of(first(LEVEL_FIELDS)), "component": first(COMPONENT_FIELDS) or "", "ts": ts, "message": f.get("message", ""), "fields": f}
+        return self._object(source, line) if found & 1 and line[0] == "{" else None
+
+    def _object(self, source: str | None, line: str) -> dict | None:
+        try:
+            o = json.loads(line)
+        except (ValueError, RecursionError):
+            return None
+        first = lambda keys: next((o[k] for k in keys if k in o), None)
+        comp, msg = o.get(OBJECT_COMPONENT.get(source or "", "")), first(MESSAGE_KEYS)
+        return {"level": level_of(first(LEVEL_KEYS)), "component": comp if isinstance(comp, str) else "", "ts": epoch_ms(first(TIME_KEYS)), "message": msg if isinstance(msg, str) else line, "fields": o}
+
+    def _request(self, f: dict) -> dict:
+        """A line of a request, told by the words it begins with."""
+        msg = f["message"]
+        out = {"request": f["request"], "message": msg, "level": "info", "component": "", "ts": 0, "fields": f}
+        begin, _, rest = msg.partition(" ")
+        if begin == "Started":
+            out["ts"] = epoch_ms(" ".join(rest.rstrip().rsplit(" at ", 1)[-1:]))
+        elif begin == "Processing" and rest.startswith("by "):
+            out["component"] = rest[3:].split("#", 1)[0] if "#" in rest else ""
+        elif begin == "Completed":
+            code = rest[:3]
+            if code.isdigit() and len(code) == 3 and not rest[3:4].isalnum():
+                out["code"] = int(code)
+        elif msg.rstrip().endswith("):") and rest.startswith("(") and all(x.isidentifier() and x[0].isupper() for x in begin.split("::")):
+            out["failed"] = True
+        return out
 
 
 FIELDS = "file string, line_no bigint, line string, request string, head boolean, level string, component string, ts bigint, message string, code int, failed boolean"

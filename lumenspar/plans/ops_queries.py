@@ -119,10 +119,21 @@ _q("series_validate", lambda s, d: wire.decode(_series_payloads(s, d), "payload"
 
 # pipeline
 
-_q("log_severity", lambda s, d: table(s, d, "logs").select(pipeline.severity(F.concat("status", F.when(F.col("seq") % 2 == 0, "").otherwise(" "))).alias("status")).groupBy("status").agg(F.count("*").alias("n")), "SELECT CASE WHEN status IN ('debug', 'warn', 'error', 'critical') THEN status ELSE 'info' END AS status, count(*) AS n FROM logs GROUP BY ALL")
+SEVERITIES = [x for names in pipeline.STATUSES.values() for x in names] + [str(n) for n in range(-2, 66)] + ["", "unknown", "ERROR", " Warning ", "Fatal", "4.5"]
+_NAMED = " ".join(f"WHEN list_contains({list(names)!r}, x) THEN '{s}'" for s, names in pipeline.STATUSES.items())
+_q("log_severity", lambda s, d: table(s, d, "logs").select(F.element_at(F.lit(SEVERITIES), (F.col("seq") % len(SEVERITIES) + 1).cast("int")).alias("name")).select("name", pipeline.severity(F.col("name")).alias("status")).groupBy("name", "status").agg(F.count("*").alias("n")), f"WITH l AS (SELECT {SEVERITIES!r}[seq % {len(SEVERITIES)} + 1] AS name FROM logs), y AS (SELECT name, lower(trim(name)) AS x, try_cast(CASE WHEN regexp_matches(trim(name), '^-?[0-9]+$') THEN name END AS INT) AS i FROM l) SELECT name, CASE {_NAMED} WHEN i BETWEEN 0 AND 2 OR i BETWEEN 51 AND 60 THEN 'critical' WHEN i = 3 OR i BETWEEN 41 AND 50 THEN 'error' WHEN i = 4 OR i BETWEEN 31 AND 40 THEN 'warn' WHEN i = 7 OR i BETWEEN 10 AND 20 THEN 'debug' ELSE 'info' END AS status, count(*) AS n FROM y GROUP BY ALL")
 _q("log_epoch_unit", lambda s, d: table(s, d, "logs").select("seq", pipeline.epoch_ms(F.element_at(F.array(F.col("ts") / 1000.0, F.col("ts") * 1.0, F.col("ts") * 1000.0, F.col("ts") * 1e6), (F.col("seq") % 4 + 1).cast("int"))).alias("ms")).distinct(), "SELECT DISTINCT seq, CASE seq % 4 WHEN 0 THEN floor(ts / 1000.0 * 1000)::BIGINT WHEN 1 THEN ts WHEN 2 THEN floor(ts * 1000.0 / 1000)::BIGINT ELSE floor(ts * 1e6 / 1000000)::BIGINT END AS ms FROM logs")
-_q("log_redact", lambda s, d: table(s, d, "logs").select("seq", F.concat(F.coalesce("message", F.lit("")), F.lit(" password=hunter2 url=/a?token=abc&x=1 mail me@example.com")).alias("m")).select("seq", pipeline.redact(F.col("m")).alias("m")).distinct())
-_q("log_redact_attrs", lambda s, d: table(s, d, "logs").select("seq", pipeline.redact_attrs(F.col("attrs")).alias("attrs")).distinct())
+_MAIL_SQL = "'[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+\\.)+[A-Za-z]{2,}', '[REDACTED]', 'g'"
+# six kinds of secrets, by turns, before the log's own message; its messages hold e-mail addresses and harmless counts of tokens
+SECRETS = [("", ""), ("password=hunter2 ", "password=[REDACTED] "), ("api-key: 'a b' ", "api-key: '[REDACTED]' "), ("Authorization: Bearer x.y ", "Authorization: [REDACTED] "), ("GET /a?token=abc&x=1 ", "GET /a?token=[REDACTED]&x=1 "), ("{\"customer_phone\"=>\"+1 555\", \"microphone\"=>1} ", "{\"customer_phone\"=>\"[REDACTED]\", \"microphone\"=>1} "), ("eyJhbGci.eyJzdWIi.c2ln ", "[REDACTED] ")]
+
+
+def _sql_list(xs: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+_q("log_redact", lambda s, d: table(s, d, "logs").select("seq", F.concat(F.element_at(F.lit([a for a, _ in SECRETS]), (F.col("seq") % len(SECRETS) + 1).cast("int")), F.coalesce("message", F.lit(""))).alias("m")).select("seq", pipeline.redact(F.col("m")).alias("m")).distinct(), f"SELECT DISTINCT seq, {_sql_list([b for _, b in SECRETS])}[seq % {len(SECRETS)} + 1] || regexp_replace(regexp_replace(coalesce(message, ''), '(phone=|token: )[^ ;,]+', '\\1[REDACTED]', 'g'), {_MAIL_SQL}) AS m FROM logs")
+_q("log_redact_attrs", lambda s, d: table(s, d, "logs").select("seq", F.concat(F.expr("left(attrs, length(attrs) - 1)"), F.lit(', "note": "password=hunter2 at a.b@c.org", "deep": {"accessToken": [1, {"x": "}"}], "n": 1.50}}')).alias("attrs")).select("seq", pipeline.redact_attrs(F.col("attrs")).alias("attrs")).distinct(), f"""SELECT DISTINCT seq, regexp_replace(regexp_replace(left(attrs, length(attrs) - 1), '("token"\\s*:\\s*)"[^"]*"', '\\1"[REDACTED]"', 'g'), {_MAIL_SQL}) || ', "note": "password=[REDACTED] at [REDACTED]", "deep": {{"accessToken": "[REDACTED]", "n": 1.50}}}}' AS attrs FROM logs""")
 _q("log_remap", lambda s, d: pipeline.remap(table(s, d, "log_lines").where("line like '{%' and source = 'winston'").select("line_id", F.col("line").alias("attrs"))).select("line_id", "status").groupBy("status").agg(F.count_distinct("line_id").alias("n")), "SELECT CASE WHEN lower(l) IN ('debug', 'silly', '20') THEN 'debug' WHEN lower(l) IN ('warn', 'warning', '40') THEN 'warn' WHEN lower(l) IN ('error', '50') THEN 'error' WHEN lower(l) IN ('critical', 'fatal', '60') THEN 'critical' ELSE 'info' END AS status, count(DISTINCT line_id) AS n FROM (SELECT line_id, coalesce(line->>'level', line->>'levelname', line->>'severity') AS l FROM log_lines WHERE line LIKE '{%' AND source = 'winston') GROUP BY ALL")
 _q("log_multiline", lambda s, d: edge.multiline(table(s, d, "log_lines").where("source = 'redis'").dropDuplicates(["file_name", "line_no"]), "file_name", "line_no", "line", r"^\d+:[XCSM] ").select("file_name", "first_line", "n_lines"), "WITH l AS (SELECT DISTINCT ON (file_name, line_no) file_name, line_no, line FROM log_lines WHERE source = 'redis'), e AS (SELECT *, sum(regexp_matches(line, '^\\d+:[XCSM] ')::INT) OVER (PARTITION BY file_name ORDER BY line_no) AS e FROM l) SELECT file_name, min(line_no) AS first_line, count(*) AS n_lines FROM e GROUP BY file_name, e")
 
