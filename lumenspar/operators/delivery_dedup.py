@@ -1,26 +1,33 @@
 """Exactly one copy of messages that were delivered at least once.
 
-Identifiers are encoded exactly as (shard, code): a record offset within its topic, a producer's sequence number within
-(topic, producer, epoch). Both are dense counters already, so the shard is the dictionary entry and the counter is the
-code; an identifier that isn't a non-negative number gets a shard of its own. Codes live in seen-bitmaps of 32768 bits,
-one row per (shard, bucket). A batch is resolved into messages (deliveries linked by any identifier, also through a
-third), a message is new if none of its identifiers' bits is set, one delivery of each new message is selected, and the
-new bits are united into the next version of the bitmaps, which a rename makes current.
-
-A whole table is resolved as one batch without bitmaps (`duplicates`). Batches one after another give other rows where a
-later one brings the first whole copy of a message, a smaller delivery_id or a link between messages kept before.
+Identifiers are encoded exactly as (shard, bucket, bit): a record offset within its topic, a producer's sequence number
+within (topic, producer, epoch). Both are dense counters already, so the shard is the dictionary's entry and the counter is
+the code; an identifier that isn't a non-negative number gets a shard of its own. Seen codes are kept in containers of
+32768 bits, one row per (shard, bucket): the sorted list of its bits while they are few, a bitmap beyond that.
+
+A batch goes through four steps. Of each code the first arrival is selected (a delivery with a whole payload before others,
+then the smallest delivery_id). Codes are tested against the seen-bitmaps. Exact links come next: a pair of identifiers of
+one delivery whose first arrivals differ links those two arrivals; only such links, which are few, are contracted. A first
+arrival that is the smallest of its links and touches no seen code is kept. Last, the new codes are united with the
+buckets they fall into, and a rename makes bitmaps and ledger current at once.
+
+A whole table (`duplicates`) is worked as two batches, whole payloads first: so no later batch brings a better copy of a
+message, and only deliveries with one identifier (a broken payload names no producer) follow, which link nothing. Batches in
+order of arrival give other rows where a later one brings the first whole copy of a message, a smaller delivery_id or a
+link between messages kept before.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspar.session import cut, scratch
+from lumenspar.session import cut, drop_since, mark, scratch
 
 BITS = 32768
+SPARSE = 2048  # a list of more bits takes more room than a bitmap
 
 
 def _code(prefix: list[Column], number: Column) -> Column:
@@ -47,116 +54,146 @@ def identifiers(deliveries: DataFrame, delivery_id: str = "delivery_id", topic:
     return d.select("delivery_id", "whole", "a", b.alias("b"))
 
 
-def _components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): root is the smallest node linked to node, of links (u, v) with u <> v.
+def _components(links: DataFrame) -> DataFrame:
+    """(node, root): root is the smallest node linked to node, of links (u, v) between numbers.
 
-    Alternating large-star and small-star contractions; each round is two pre-aggregated shuffles of the links, which
-    shrink to stars in O(log^2) rounds. Links exist only between identifiers of one message that differ.
+    Alternating large-star and small-star contractions, each two pre-aggregated shuffles of the links, until nothing
+    changes; the links shrink to stars in O(log^2) rounds.
     """
-    e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e = cut(e)
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    e = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while (now := e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != before and now[0]:
+        before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        j = large.join(small_low, "u")
-        e = cut(j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        before = now
-    raise RuntimeError(f"links did not contract in {rounds} rounds")
+        e = cut(large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+    return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def resolve(ids: DataFrame) -> DataFrame:
-    """ids with `message`: one struct for all deliveries linked by a or b, also through a third; a delivery without any
-    identifier is a message of its own.
+CODE = ["shard", "bucket", "bit"]
 
-    Only links between two different offsets of one producer sequence number take part in the contraction: they are
-    few, however many copies a message has.
-    """
-    pair = ids.where("a is not null and b is not null").select("a", "b").distinct()
-    low = pair.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
-    many = low.where("low <> high").select("b", "low")
-    links = pair.join(many, "b").where("a <> low").select(F.col("a").alias("u"), F.col("low").alias("v"))
-    roots = _components(links)
-    low = low.select("b", F.col("low").alias("by_b"))
-    # deliveries without an offset find their message by b
-    lone = ids.where("a is null and b is not null").join(low, "b", "left").select("delivery_id", "whole", F.lit(None).cast(ids.schema["a"].dataType).alias("a"), "b", F.coalesce("by_b", "b").alias("node"))
-    rest = ids.where("a is not null or b is null").select("*", F.coalesce("a", F.struct(F.lit("none").alias("shard"), F.coalesce(F.col("delivery_id").cast("bigint"), F.lit(-1)).alias("bucket"), F.lit(0).alias("bit"))).alias("node"))
-    return rest.unionByName(lone).join(roots, "node", "left").select("delivery_id", "whole", "a", "b", F.coalesce("root", "node").alias("message"))
+
+def _known() -> Column:
+    """True if `bit` is in the container (bits, bitmap) of its bucket."""
+    byte = F.expr("cast(conv(hex(substring(bitmap, cast(bit / 8 as int) + 1, 1)), 16, 10) as int)")
+    return F.coalesce(F.array_contains("bits", F.col("bit")), F.lit(False)) | (F.coalesce(byte, F.lit(0)).bitwiseAND(F.expr("shiftleft(1, bit % 8)")) > 0)
 
 
-def select_new(resolved: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """(message, kept): of each message none of whose identifiers is in the bitmaps `seen`, the delivery to keep: the
-    smallest delivery_id with a whole payload, or the smallest of all if none is whole."""
-    first = resolved.groupBy("message").agg(F.min(F.struct(~F.col("whole"), "delivery_id")).alias("m")).select("message", F.col("m.delivery_id").alias("kept"))
+def first_arrivals(ids: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(shard, bucket, bit, first, known): of each code the arrival to prefer, and whether the code was seen before."""
+    one = ids.select("delivery_id", "whole", F.explode(F.array_compact(F.array("a", "b"))).alias("i")).select("delivery_id", "whole", "i.*")
+    first = one.groupBy(*CODE).agg(F.coalesce(F.min(F.when(F.col("whole"), F.col("delivery_id"))), F.min("delivery_id")).alias("first"))
     if seen is None:
-        return first
-    bits = _bits(resolved, "message").join(seen, ["shard", "bucket"])
-    byte = F.expr("cast(conv(hex(substring(bitmap, cast(bit / 8 as int) + 1, 1)), 16, 10) as int)")
-    known = bits.where(F.coalesce(byte, F.lit(0)).bitwiseAND(F.expr("shiftleft(1, bit % 8)")) > 0).select("message").distinct()
-    return first.join(known, "message", "left_anti")
+        return first.withColumn("known", F.lit(False))
+    return first.join(seen, ["shard", "bucket"], "left").select(*CODE, "first", _known().alias("known"))
 
 
-def _bits(resolved: DataFrame, *more: str) -> DataFrame:
-    one = resolved.select(*more, F.explode(F.array_compact(F.array("a", "b"))).alias("i"))
-    return one.select(*more, "i.shard", "i.bucket", "i.bit").distinct()
+def select_new(ids: DataFrame, first: DataFrame) -> DataFrame:
+    """(kept): the delivery to keep of each message none of whose codes was seen, of `ids` and their first_arrivals.
 
+    Deliveries without any identifier are messages of their own.
+    """
+    code = lambda side: F.struct(*(F.col(c) for c in CODE)).alias(side)
+    pairs = ids.where("a is not null and b is not null").select("a", "b").distinct()
+    links = pairs.join(first.select(code("a"), F.col("first").alias("u")), "a").join(first.select(code("b"), F.col("first").alias("v")), "b").where("u <> v").select("u", "v").distinct()
+    roots = _components(links)
+    messages = first.join(roots.withColumnRenamed("node", "first"), "first", "left").groupBy(F.coalesce("root", "first").alias("kept")).agg(F.max("known").alias("known"))
+    return messages.where("not known").select("kept").unionByName(ids.where("a is null and b is null").select(F.col("delivery_id").alias("kept")).distinct())
 
-def unite(resolved: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """(shard, bucket, bitmap): the bits of all identifiers of the batch united with those of `seen`."""
-    new = _bits(resolved).groupBy("shard", "bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
-    return new if seen is None else new.unionByName(seen).groupBy("shard", "bucket").agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
+
+def unite(first: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(shard, bucket, bits, bitmap): the codes of a batch united with the containers of `seen`."""
+    new = first.groupBy("shard", "bucket").agg(F.collect_set("bit").alias("bits")).withColumn("bitmap", F.lit(None).cast("binary"))  # at most 32768 numbers
+    if seen is not None:
+        new = new.unionByName(seen).groupBy("shard", "bucket").agg(F.array_distinct(F.flatten(F.collect_list("bits"))).alias("bits"), F.first("bitmap", ignorenulls=True).alias("bitmap"))
+    few = F.col("bitmap").isNull() & (F.size("bits") <= SPARSE)
+    listed = new.where(few).select("shard", "bucket", F.array_sort("bits").alias("bits"), "bitmap")
+    dense = new.where(~few)
+    maps = dense.select("shard", "bucket", F.explode("bits").alias("bit")).groupBy("shard", "bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
+    maps = maps.unionByName(dense.where("bitmap is not null").select("shard", "bucket", "bitmap")).groupBy("shard", "bucket").agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
+    return listed.unionByName(maps.select("shard", "bucket", F.lit(None).cast("array<int>").alias("bits"), "bitmap"))
 
 
 class SeenBitmaps:
-    """Versions of the seen-bitmaps below a folder; the file CURRENT names the one that holds. Writing a version and
-    then renaming CURRENT makes a batch count wholly or not at all; a batch id that is current already is skipped."""
+    """Seen-bitmaps and the ledger of batches below a folder.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    Buckets are spread over `groups`; a batch writes only the groups it touches anew, below its own name. The manifest
+    names the folder of each group and the batches that are done. It is replaced by a rename, so a batch counts wholly or
+    not at all, and a batch that is done is never worked nor written again, however old it is.
+    """
+
+    MANIFEST = "MANIFEST"
+
+    def __init__(self, spark: SparkSession, folder: str, groups: int = 64) -> None:
+        self.spark, self.folder, self.groups = spark, folder.rstrip("/"), groups
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.folder))
 
-    def current(self) -> tuple[str, DataFrame] | None:
-        if not self._fs.exists(self._path(f"{self.folder}/CURRENT")):
-            return None
-        version = self.spark.read.text(f"{self.folder}/CURRENT").first()[0]
-        return version, self.spark.read.parquet(f"{self.folder}/{version}")
+    def manifest(self) -> dict:
+        """{"groups": {group: folder}, "done": [batch]}."""
+        if not self._fs.exists(self._path(f"{self.folder}/{self.MANIFEST}")):
+            return {"groups": {}, "done": []}
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.folder}/{self.MANIFEST}").first()[0])
+
+    def _group(self) -> Column:
+        return F.pmod(F.xxhash64("shard", "bucket"), F.lit(self.groups)).cast("int")
+
+    def _seen(self, manifest: dict, touched: set[int]) -> DataFrame | None:
+        paths = sorted(f"{self.folder}/{manifest['groups'][str(g)]}/g={g}" for g in touched if str(g) in manifest["groups"])
+        return self.spark.read.schema("shard string, bucket bigint, bits array<int>, bitmap binary").parquet(*paths) if paths else None
 
     def process(self, deliveries: DataFrame, batch: str, out: str, **columns: str) -> bool:
-        """Writes the deliveries to keep of a batch to `out` and unites its bits; False if the batch was done before."""
-        now = self.current()
-        if now and now[0] == f"seen-{batch}":
+        """Writes (delivery_id) of the deliveries to keep of a batch to `out` and unites its codes; False, with nothing
+        read or written, if the batch was done before."""
+        if batch in self.manifest()["done"]:
+            return False
+        at = mark()
+        ids = cut(identifiers(deliveries, **columns), "ids")
+        self.process_ids(ids, batch, out)
+        drop_since(at)
+        return True
+
+    def process_ids(self, ids: DataFrame, batch: str, out: str) -> bool:
+        """process() of deliveries whose identifiers are encoded already."""
+        now = self.manifest()
+        if batch in now["done"]:
             return False
-        resolved = cut(resolve(cut(identifiers(deliveries, **columns))))
-        seen = now[1] if now else None
-        select_new(resolved, seen).select(F.col("kept").alias("delivery_id")).write.mode("overwrite").parquet(out)
-        unite(resolved, seen).write.mode("overwrite").parquet(f"{self.folder}/seen-{batch}")
-        tmp = self._path(f"{self.folder}/CURRENT.{batch}")
+        codes = cut(first_arrivals(ids), "codes")
+        touched = {r[0] for r in codes.select(self._group()).distinct().collect()}  # at most `groups` numbers
+        seen = self._seen(now, touched)
+        if seen is not None:
+            codes = cut(codes.drop("known").join(seen, ["shard", "bucket"], "left").select(*CODE, "first", _known().alias("known")), "codes")
+        select_new(ids, codes).select(F.col("kept").alias("delivery_id")).write.mode("overwrite").parquet(out)
+        unite(codes, seen).withColumn("g", self._group()).repartition("g").write.mode("overwrite").partitionBy("g").parquet(f"{self.folder}/{batch}")
+        self._commit({"groups": now["groups"] | {str(g): batch for g in touched}, "done": [*now["done"], batch]}, batch)
+        return True
+
+    def _commit(self, manifest: dict, batch: str) -> None:
+        tmp = self._path(f"{self.folder}/{self.MANIFEST}.{batch}")
         stream = self._fs.create(tmp, True)
-        stream.write(bytearray(f"seen-{batch}\n".encode()))
+        stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri())
-        overwrite = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(tmp, self._path(f"{self.folder}/CURRENT"), overwrite)
-        return True
+        jvm = self.spark.sparkContext._jvm
+        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri()).rename(tmp, self._path(f"{self.folder}/{self.MANIFEST}"), overwrite)
 
 
-def duplicates(deliveries: DataFrame, seen: DataFrame | None = None, **columns: str) -> DataFrame:
-    """(delivery_id) of every delivery that isn't the one kept.
+def duplicates(deliveries: DataFrame, **columns: str) -> DataFrame:
+    """(delivery_id) of every delivery that isn't the one kept: of each message the smallest with a whole payload, or the
+    smallest of all if none is whole.
 
-    Null payloads, offsets and topics give no identifier from them; repeated delivery ids are one delivery if they
-    agree. An empty table gives an empty result.
+    Null payloads, offsets and topics give no identifier from them; rows without a delivery_id are ignored; repeated
+    delivery ids are one delivery if they agree. An empty table gives an empty result.
     """
-    resolved = cut(resolve(cut(identifiers(deliveries, **columns))))  # payloads are parsed once
-    kept = select_new(resolved, seen).select(F.col("kept").alias("delivery_id"))
-    return resolved.select("delivery_id").distinct().join(kept, "delivery_id", "left_anti")
+    spark = deliveries.sparkSession
+    ids = cut(identifiers(deliveries, **columns).where("delivery_id is not null"), "ids")  # payloads are parsed once
+    bitmaps, kept = SeenBitmaps(spark, scratch(spark, "seen")), []
+    for name, part in (("whole", ids.where("whole")), ("broken", ids.where("not whole"))):
+        kept.append(scratch(spark, "kept"))
+        bitmaps.process_ids(part, name, kept[-1])
+    return ids.select("delivery_id").distinct().join(spark.read.schema("delivery_id bigint").parquet(*kept), "delivery_id", "left_anti")

@@ -112,7 +112,8 @@ def p6_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Over the whole table, by components; without the seen-bitmaps, which can't take back what a batch before kept."""
+    """Over the whole table through the seen-bitmaps: whole payloads as the first batch, broken ones as the second, so that
+    no later batch brings a better copy of a message."""
     return delivery_dedup.duplicates(table(spark, d, "queue_records"))
 
 
@@ -131,4 +132,15 @@ SQL = {
               FROM samples JOIN m USING (series_id) JOIN (SELECT metric, min(step_s) AS step_s FROM metric_meta GROUP BY metric) USING (metric) WHERE v IS NOT NULL),
         p AS (SELECT series_id, step, slot, lead(slot) OVER (PARTITION BY series_id ORDER BY slot) AS nxt FROM s)
         SELECT series_id, unnest(range(slot + 1, nxt)) * step AS slot_start FROM p WHERE nxt > slot + 1""",
+    "p7_found": """
+        WITH RECURSIVE w AS (SELECT delivery_id, topic, rec_offset, payload, CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE FALSE END AS whole FROM queue_records),
+        x AS (SELECT delivery_id, coalesce(whole, FALSE) AS whole, 'o/' || topic || '/' || rec_offset AS a,
+                     CASE WHEN whole THEN 'p/' || topic || '/' || (payload->>'producer') || '/' || (payload->>'epoch') || '/' || (payload->>'pseq') END AS b FROM w),
+        y AS (SELECT delivery_id, whole, coalesce(a, b, 'd/' || delivery_id) AS a, b FROM x),
+        e AS (SELECT DISTINCT a, b FROM y WHERE b IS NOT NULL),
+        l AS (SELECT DISTINCT p.a AS u, q.a AS v FROM e p JOIN e q USING (b) WHERE p.a <> q.a),
+        r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+        m AS (SELECT u, min(v) AS v FROM r GROUP BY u),
+        z AS (SELECT delivery_id, row_number() OVER (PARTITION BY least(a, coalesce(m.v, a)) ORDER BY whole DESC, delivery_id) AS n FROM y LEFT JOIN m ON y.a = m.u)
+        SELECT delivery_id FROM z WHERE n > 1""",
 }

@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, int]] = []  # with the thread that wrote it
+_registered = False
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,7 +33,7 @@ def local_session(cores: str | int = "*", memory: str = "8g", **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests, one machine) a new temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, else, on one machine only, a new temporary one."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if told:
@@ -39,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(told)
         return told
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenspar-"))
     return sc.getCheckpointDir()
 
@@ -46,14 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the session's process ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not _written:
+    global _registered
+    if not _registered:
         atexit.register(_remove)
-    _written.append((spark, path))
+        _registered = True
+    _written.append((spark, path, threading.get_ident()))
     return path
 
 
-def _remove() -> None:
-    for spark, path in _written:
+def mark() -> int:
+    """Where the list of cuts stands now, for drop_since."""
+    return len(_written)
+
+
+def drop_since(at: int) -> None:
+    """Removes the tables this thread has cut since mark(); for callers that are done with them, such as a stream's batch."""
+    _remove([x for x in _written[at:] if x[2] == threading.get_ident()])
+
+
+def _remove(entries: list | None = None) -> None:
+    for x in list(_written) if entries is None else entries:
+        _written.remove(x)
+        spark, path, _ = x
         try:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -65,7 +65,7 @@ def test_batches_and_redelivered_batch(spark, tmp_path):
     two = spark.createDataFrame([(4, "x", 9, j(1), ""), (5, "x", 40000, j(2), ""), (6, "x", 41, j(3), ""), (7, "x", 42, j("odd"), "")], SCHEMA)
     assert s.process(one, "1", str(tmp_path / "o1"))
     assert s.process(two, "2", str(tmp_path / "o2"))
-    assert not s.process(two, "2", str(tmp_path / "again"))
+    assert not s.process(two, "2", str(tmp_path / "o2")) and not s.process(one, "1", str(tmp_path / "o1"))  # an old batch is not worked again
     read = lambda n: sorted(r[0] for r in spark.read.parquet(str(tmp_path / n)).collect())
     assert (read("o1"), read("o2")) == ([1, 3], [6, 7])
 
@@ -85,3 +85,14 @@ def test_batches_keep_what_came_first_where_the_table_keeps_the_whole_copy(spark
 
 def test_empty(spark):
     assert duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_dense_and_sparse_containers(spark, tmp_path):
+    rows = [(i, "x", i, None, "") for i in range(5000)] + [(10_000 + i, "x", 70_000 + 40_000 * i, None, "") for i in range(5)] + [(20_000, None, 1, None, ""), (20_001, "x", None, None, "")]
+    s = SeenBitmaps(spark, str(tmp_path / "seen"), groups=3)
+    cut = lambda a, b: spark.createDataFrame(rows[a:b], SCHEMA)
+    assert s.process(cut(0, 3000), "a", str(tmp_path / "a")) and s.process(cut(2000, len(rows)), "b", str(tmp_path / "b")) and s.process(cut(0, 5005), "c", str(tmp_path / "c"))
+    read = lambda n: sorted(r[0] for r in spark.read.schema("delivery_id bigint").parquet(str(tmp_path / n)).collect())
+    assert read("a") == list(range(3000)) and read("b") == list(range(3000, 5000)) + [10_000 + i for i in range(5)] + [20_000, 20_001] and read("c") == []
+    got = s._seen(s.manifest(), {0, 1, 2}).selectExpr("sum(case when bits is null then bitmap_count(bitmap) else size(bits) end)", "count_if(bitmap is not null)").first()
+    assert tuple(got) == (5005, 1)
