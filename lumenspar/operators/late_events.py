@@ -130,6 +130,7 @@ def late_event_aggregates(readings: DataFrame, key: str, t: str = "t", v: str =
 
 
 def outcomes(aggregates: DataFrame, key: str) -> DataFrame:
-    """(key, period_start, outcome) of periods with readings past publication (`corrected`) or past closing (`cut_off`)."""
-    kinds = F.array_compact(F.array(F.when(F.col("n_late") > 0, F.lit("corrected")), F.when(F.col("n_cut") > 0, F.lit("cut_off"))))
-    return aggregates.where("n_late > 0 or n_cut > 0").select(key, "period_start", F.explode(kinds).alias("outcome"))
+    """(key, period_start, outcome): `corrected` for periods whose published output a replay replaced by one of more
+    readings, `cut_off` for periods that refused readings after closing."""
+    kinds = F.array_compact(F.array(F.when((F.col("replayed") > 0) & (F.col("n") > F.col("n_first")), F.lit("corrected")), F.when(F.col("n_cut") > 0, F.lit("cut_off"))))
+    return aggregates.select(key, "period_start", F.explode(kinds).alias("outcome"))

@@ -4,8 +4,9 @@ Each pair of consecutive readings of a key is one interval. A cumulative counter
 reading itself after a reset) is spread over the grid cells in proportion to their overlap with the interval; a gauge is
 averaged per cell and interpolated or carried into cells without a reading. Cells without a reading are marked.
 
-Pairs are found inside segments of `segment_slots` cells, so a hot key is split; the first reading of each segment is
-handed to the segment before it as a sentinel (one row per key and segment), which joins pairs across segments.
+Readings are shuffled once, by key and segment of time, so a hot key is split before anything meets it. What a segment
+needs from outside comes on one row per key and segment: its source's step and kind, and the first reading of the next
+segment, which ends the interval of its last reading.
 """
 
 from __future__ import annotations
@@ -23,19 +24,27 @@ def _slots(first: Column, last: Column, chunk: int = 4096) -> tuple[Column, Colu
     return F.sequence(first, last, F.lit(chunk).cast("bigint")), F.lit(chunk - 1)
 
 
-def interval_pairs(readings: DataFrame, key: str, t: str, v: str, step_ms: str, kind: str, segment_slots: int = 2048) -> DataFrame:
+def interval_pairs(readings: DataFrame, sources: DataFrame, key: str, t: str, v: str, step_ms: str, kind: str, first_by: tuple[str, ...] = (), segment_ms: int = 21_600_000) -> DataFrame:
     """(k, step, kind, t, v, slot, nt, nv, nslot): each reading with the next one of its key, null for the last."""
-    base = readings.select(F.col(key).alias("k"), F.col(step_ms).cast("bigint").alias("step"), F.col(kind).alias("kind"), F.col(t).cast("bigint").alias("t"), F.nanvl(F.col(v).cast("double"), F.lit(None)).alias("v")).where("t is not null and v is not null and step > 0")
-    base = base.withColumn("slot", _floor_div(F.col("t"), F.col("step"))).withColumn("seg", _floor_div(F.col("slot"), F.lit(segment_slots).cast("bigint")))
-    heads = base.groupBy("k", "step", "kind", "seg").agg(F.min(F.struct("t", "v")).alias("h"))
-    sentinel = heads.select("k", "step", "kind", F.col("h.t").alias("t"), F.col("h.v").alias("v"), F.lag("seg").over(Window.partitionBy("k").orderBy("seg")).alias("seg")).where("seg is not null")
-    both = base.select("k", "step", "kind", "t", "v", "seg", F.lit(False).alias("s")).unionByName(sentinel.withColumn("s", F.lit(True)))
-    w = Window.partitionBy("k", "seg").orderBy("t", "v")
-    pairs = both.select("*", F.lead("t").over(w).alias("nt"), F.lead("v").over(w).alias("nv")).where("not s")
-    return pairs.select("k", "step", "kind", "t", "v", _floor_div(F.col("t"), F.col("step")).alias("slot"), "nt", "nv", _floor_div(F.col("nt"), F.col("step")).alias("nslot"))
-
-
-def regular_grid(readings: DataFrame, key: str, t: str = "t", v: str = "v", step_ms: str = "step_ms", kind: str = "kind", fill: str = "linear", segment_slots: int = 2048) -> DataFrame:
+    of = readings.schema[key].dataType.simpleString()
+    none = F.lit("" if of == "string" else 0).cast(of)
+    by = ["k", "no_key", "seg"]  # a null key is a key of its own, and equal to itself in joins
+    keyed = [F.coalesce(F.col(key), none).alias("k"), F.col(key).isNull().alias("no_key")]
+    base = readings.select(*keyed, F.col(t).cast("bigint").alias("t"), F.nanvl(F.col(v).cast("double"), F.lit(None)).alias("v"), *(F.col(c).alias(f"by_{i}") for i, c in enumerate(first_by))).where("t is not null and v is not null")
+    base = base.withColumn("seg", _floor_div(F.col("t"), F.lit(segment_ms).cast("bigint"))).repartition(*by)
+    if first_by:
+        base = base.groupBy(*by, "t").agg(F.min_by("v", F.struct(*(f"by_{i}" for i in range(len(first_by))), "v")).alias("v"))
+    w = Window.partitionBy(*by).orderBy("t", "v")
+    inner = base.select(*by, "t", "v", F.lead("t").over(w).alias("nt"), F.lead("v").over(w).alias("nv"))
+    src = sources.select(*keyed, F.col(step_ms).cast("bigint").alias("step"), F.col(kind).alias("kind")).where("step > 0").dropDuplicates(["k", "no_key"])
+    heads = base.groupBy(*by).agg(F.min(F.struct("t", "v")).alias("h")).join(src, ["k", "no_key"])
+    heads = heads.select(*by, "step", "kind", F.lead("h").over(Window.partitionBy("k", "no_key").orderBy("seg")).alias("h"))
+    pairs = inner.join(heads, by).withColumns({"nv": F.when(F.col("nt").isNull(), F.col("h.v")).otherwise(F.col("nv")), "nt": F.coalesce("nt", "h.t")})
+    slot = lambda c: _floor_div(F.col(c), F.col("step"))
+    return pairs.select(F.when(~F.col("no_key"), F.col("k")).alias("k"), "step", "kind", "t", "v", slot("t").alias("slot"), "nt", "nv", slot("nt").alias("nslot"))
+
+
+def regular_grid(readings: DataFrame, sources: DataFrame, key: str, t: str = "t", v: str = "v", step_ms: str = "step_ms", kind: str = "kind", fill: str = "linear", first_by: tuple[str, ...] = (), segment_ms: int = 21_600_000) -> DataFrame:
     """One row per key and grid cell between the cells of its first and last reading.
 
     kind 'counter' is cumulative; anything else (null too) is a gauge. Columns: <key>, slot_start, status ('observed' or
@@ -43,11 +52,14 @@ def regular_grid(readings: DataFrame, key: str, t: str = "t", v: str = "v", step
     between the readings around the hole, 'last' or 'null'), increment (counter: share of the increments that overlap
     the cell; a fall is a reset and the reading after it counts from zero).
 
-    Rows with a null or NaN value, null t or a step that isn't positive are ignored; rows with the same (key, t) are
-    both readings of the cell, with an interval of no length between them, whose increment falls into that cell. A null
-    key is a key of its own. A key with one reading has one observed cell with a null increment. Empty in, empty out.
+    readings: key, t, v. sources: step and kind, one row per key (of repeated ones any counts; keys without a source or
+    with a step that isn't positive have no grid). Rows with a null or NaN value or a null t are ignored. Of rows with the
+    same (key, t) the smallest by the columns `first_by`, then by v, is the reading; without first_by all are readings of
+    the cell, with intervals of no length between them, whose increments fall into that cell. A null key is a key of its
+    own. A key with one reading has one observed cell with a null increment. Empty in, empty out; further columns are
+    ignored.
     """
-    pairs = interval_pairs(readings, key, t, v, step_ms, kind, segment_slots)
+    pairs = interval_pairs(readings, sources, key, t, v, step_ms, kind, first_by, segment_ms)
     counter = F.coalesce(F.col("kind") == "counter", F.lit(False))
     inc = F.when(F.col("nv") < F.col("v"), F.col("nv")).otherwise(F.col("nv") - F.col("v"))
     length = F.col("nt") - F.col("t")

@@ -16,11 +16,15 @@ DISCRETE = ["queue.depth", "job.runtime", "db.pool.open", "service.can_connect",
 
 def p1_aggregates(spark: SparkSession, d: str) -> DataFrame:
     """Per series and five minutes: the aggregates as published, as corrected, and what came too late."""
+    return _late(spark, d).withColumns({c: F.round(c, 6) for c in ("sum_first", "rise_first", "sum", "rise")})
+
+
+def _late(spark: SparkSession, d: str) -> DataFrame:
     return late_events.late_event_aggregates(arrived_samples(spark, d), "series_id", tie="rec_offset")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return late_events.outcomes(p1_aggregates(spark, d), "series_id")
+    return late_events.outcomes(_late(spark, d), "series_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,21 +38,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(states.select(F.lit("monitor_states").alias("tbl"), F.col("monitor_id").alias("id"), F.col("group_key").alias("pos"))).distinct()
 
 
-def _grid_input(readings: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    meta = series_meta(spark, d).select("series_id", (F.col("step_s") * 1000).alias("step_ms"), F.when(F.col("type") == "counter", "counter").otherwise("gauge").alias("kind"))
-    return readings.join(meta, "series_id")
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    sources = series_meta(spark, d).select("series_id", (F.col("step_s") * 1000).alias("step_ms"), F.when(F.col("type") == "counter", "counter").otherwise("gauge").alias("kind"))
+    return regular_grid.regular_grid(arrived_samples(spark, d), sources, "series_id", first_by=("arrival", "rec_offset"))
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The regular grid of every series, missing cells interpolated and marked."""
-    s = arrived_samples(spark, d).groupBy("series_id", "t").agg(F.min_by("v", F.struct("arrival", "rec_offset", "v")).alias("v"))
-    return regular_grid.regular_grid(_grid_input(s, spark, d), "series_id")
+    """The regular grid of every series, missing cells interpolated and marked; numbers to six places, halves (means of two
+    readings) upwards whatever the last bit."""
+    return _grid(spark, d).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("value", "increment")})
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    # which of the rows of one (series_id, t) is the reading matters to values, not to which cells have one
-    s = table(spark, d, "samples").where("v is not null").select("series_id", "t", "v")
-    return regular_grid.regular_grid(_grid_input(s, spark, d), "series_id").where("status = 'missing'").select("series_id", "slot_start")
+    """The cells of the written grid that are marked as missing."""
+    return cut(_grid(spark, d), "grid").where("status = 'missing'").select("series_id", "slot_start")
 
 
 def p5_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -143,4 +146,30 @@ SQL = {
         m AS (SELECT u, min(v) AS v FROM r GROUP BY u),
         z AS (SELECT delivery_id, row_number() OVER (PARTITION BY least(a, coalesce(m.v, a)) ORDER BY whole DESC, delivery_id) AS n FROM y LEFT JOIN m ON y.a = m.u)
         SELECT delivery_id FROM z WHERE n > 1""",
+    "p3_grid": """
+        WITH q AS (SELECT rec_offset, min(epoch_us(rec_time)) AS a FROM queue_records WHERE topic = 'series' GROUP BY rec_offset),
+        m AS (SELECT id AS series_id, min(metric) AS metric FROM series GROUP BY id),
+        g AS (SELECT series_id, step_s * 1000 AS step, type = 'counter' AS counter FROM m JOIN (SELECT DISTINCT ON (metric) * FROM metric_meta) USING (metric)),
+        r AS (SELECT DISTINCT ON (series_id, t) series_id, t, v FROM samples JOIN q USING (rec_offset) WHERE v IS NOT NULL ORDER BY series_id, t, a, rec_offset, v),
+        p AS (SELECT *, lead(t) OVER w AS nt, lead(v) OVER w AS nv FROM r JOIN g USING (series_id) WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+        c AS (SELECT *, t // step AS slot, unnest(range(t // step, coalesce(nt, t) // step + 1)) AS cell, CASE WHEN nv < v THEN nv ELSE nv - v END AS rise FROM p),
+        x AS (SELECT *, rise * (least(nt, (cell + 1) * step) - greatest(t, cell * step)) / (nt - t) AS part FROM c),
+        y AS (SELECT series_id, cell * step AS slot_start, counter, count(*) FILTER (cell = slot) AS n, avg(v) FILTER (cell = slot) AS mean,
+                     max(v + (nv - v) * (cell * step + step / 2 - t) / (nt - t)) FILTER (cell > slot AND cell < nt // step) AS line, sum(part) AS part FROM x GROUP BY ALL)
+        SELECT series_id, slot_start, CASE WHEN n > 0 THEN 'observed' ELSE 'missing' END AS status, n,
+               CASE WHEN NOT counter THEN round(CASE WHEN n > 0 THEN mean ELSE line END + 1e-9, 6) END AS value, CASE WHEN counter THEN round(part + 1e-9, 6) END AS increment FROM y""",
+    "p1_aggregates": """
+        WITH q AS (SELECT rec_offset, min(epoch_us(rec_time)) AS a FROM queue_records WHERE topic = 'series' GROUP BY rec_offset),
+        r AS (SELECT DISTINCT ON (series_id, t) series_id, t, v, a FROM samples JOIN q USING (rec_offset) WHERE v IS NOT NULL ORDER BY series_id, t, a, rec_offset, v),
+        x AS (SELECT *, t - t % 300000 AS p, a - (t - t % 300000 + 300000) * 1000 AS late FROM r),
+        k AS (SELECT *, late <= 60000000 AS early, late <= 7200000000 AS live FROM x),
+        e AS (SELECT series_id, p, count(*) AS n_first, round(sum(v), 6) AS sum_first, min(v) AS min_first, max(v) AS max_first, max_by(v, t) AS last_first, round(sum(up), 6) AS rise_first
+              FROM (SELECT *, greatest(coalesce(v - lag(v) OVER (PARTITION BY series_id, p ORDER BY t), 0), 0) AS up FROM k WHERE early) GROUP BY ALL),
+        l AS (SELECT series_id, p, count(*) AS n, round(sum(v), 6) AS sum, min(v) AS min, max(v) AS max, max_by(v, t) AS last, round(sum(up), 6) AS rise
+              FROM (SELECT *, greatest(coalesce(v - lag(v) OVER (PARTITION BY series_id, p ORDER BY t), 0), 0) AS up FROM k WHERE live) GROUP BY ALL),
+        b AS (SELECT *, count(*) FILTER (early) OVER (PARTITION BY series_id, p ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+        c AS (SELECT series_id, p, count(*) FILTER (live AND NOT early) AS n_late, count(*) FILTER (NOT live) AS n_cut, min(before) FILTER (live AND NOT early) // 8 * 8 AS kept FROM b GROUP BY ALL),
+        s AS (SELECT series_id, p, count(*) FILTER (live AND before >= kept) AS replayed FROM b JOIN c USING (series_id, p) GROUP BY ALL)
+        SELECT series_id, p AS period_start, coalesce(n_first, 0) AS n_first, sum_first, min_first, max_first, last_first, rise_first, coalesce(n, 0) AS n, sum, min, max, last, rise, n_late, n_cut, replayed
+        FROM c JOIN s USING (series_id, p) LEFT JOIN e USING (series_id, p) LEFT JOIN l USING (series_id, p)""",
 }

@@ -2,7 +2,12 @@ import random
 
 import pytest
 
-from lumenspar.operators.regular_grid import regular_grid
+from lumenspar.operators import regular_grid as grid
+
+
+def regular_grid(df, key, **options):
+    """Readings that carry their step and kind."""
+    return grid.regular_grid(df, df.select(key, "step_ms", "kind").distinct(), key, **options)
 
 
 def brute(rows, step):
@@ -30,7 +35,7 @@ def brute(rows, step):
     return out
 
 
-@pytest.mark.parametrize("segment", [1, 3, 2048])
+@pytest.mark.parametrize("segment", [10, 35, 21_600_000])
 def test_matches_brute_force(spark, segment):
     rng = random.Random(segment)
     rows = []
@@ -42,7 +47,7 @@ def test_matches_brute_force(spark, segment):
             rows.append((k, t, c, kind))
     rows += [("a", None, 1.0, "counter"), ("b", 3, None, "gauge"), ("one", 7, 5.0, "counter")]
     df = spark.createDataFrame([(*r, 10, "x") for r in rows], "key string, t bigint, v double, kind string, step_ms bigint, slot string")
-    got = {(r["key"], r["slot_start"]): r for r in regular_grid(df, "key", segment_slots=segment, fill="null").collect()}
+    got = {(r["key"], r["slot_start"]): r for r in regular_grid(df, "key", segment_ms=segment, fill="null").collect()}
     want = brute(rows, 10)
     assert set(got) == set(want)
     for k, (status, n, value, inc) in want.items():
@@ -66,3 +71,9 @@ def test_fill_and_empty(spark):
     assert lin == pytest.approx({10: 3.0, 20: 5.0, 30: 7.0})
     assert {r["value"] for r in regular_grid(df, "key", fill="last").where("status = 'missing'").collect()} == {0.0}
     assert regular_grid(df.where("false"), "key").count() == 0
+
+
+def test_first_by_and_unknown_sources(spark):
+    df = spark.createDataFrame([("a", 0, 5.0, 2, 10, "counter"), ("a", 0, 1.0, 1, 10, "counter"), ("a", 20, 4.0, 3, 10, "counter"), ("b", 1, 1.0, 1, 0, "gauge")], "key string, t bigint, v double, by bigint, step_ms bigint, kind string")
+    got = {(r["key"], r["slot_start"]): (r["status"], r["n"], r["increment"]) for r in regular_grid(df, "key", first_by=("by",)).collect()}
+    assert got == {("a", 0): ("observed", 1, 1.5), ("a", 10): ("missing", 0, 1.5), ("a", 20): ("observed", 1, 0.0)}
