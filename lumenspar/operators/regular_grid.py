@@ -59,26 +59,26 @@ def regular_grid(readings: DataFrame, sources: DataFrame, key: str, t: str = "t"
     own. A key with one reading has one observed cell with a null increment. Empty in, empty out; further columns are
     ignored.
     """
-    pairs = interval_pairs(readings, sources, key, t, v, step_ms, kind, first_by, segment_ms)
-    counter = F.coalesce(F.col("kind") == "counter", F.lit(False))
-    inc = F.when(F.col("nv") < F.col("v"), F.col("nv")).otherwise(F.col("nv") - F.col("v"))
+    pairs = interval_pairs(readings, sources, key, t, v, step_ms, kind, first_by, segment_ms).withColumn("counter", F.coalesce(F.col("kind") == "counter", F.lit(False)))
+    # the cells an interval reaches, in chunks: of a gauge's, the cell of the reading that ends it is that reading's own
+    end = F.coalesce("nslot", "slot")
+    last = F.when(F.col("counter"), end).otherwise(F.greatest(F.col("slot"), end - 1))
+    begins, width = _slots(F.col("slot"), F.col("last"))
+    cells = pairs.withColumn("last", last).withColumn("c0", F.explode(begins)).withColumn("cell", F.explode(F.sequence(F.col("c0"), F.least(F.col("c0") + width, F.col("last")))))
+    own, cell, step = F.col("cell") == F.col("slot"), F.col("cell"), F.col("step")
     length = F.col("nt") - F.col("t")
-
-    def share(slot: Column) -> Column:
-        lap = F.least(F.col("nt"), (slot + 1) * F.col("step")) - F.greatest(F.col("t"), slot * F.col("step"))
-        return F.when(length > 0, inc * lap / length).otherwise(inc)
-
-    # holes: cells strictly between the cells of two consecutive readings; each lies in exactly one interval
-    outer, width = _slots(F.col("slot") + 1, F.col("nslot") - 1)
-    holes = pairs.where("nslot > slot + 1").withColumn("c0", F.explode(outer)).withColumn("cell", F.explode(F.sequence(F.col("c0"), F.least(F.col("c0") + width, F.col("nslot") - 1))))
-    middle = F.col("cell") * F.col("step") + F.col("step") / 2
-    filled = {"linear": F.col("v") + (F.col("nv") - F.col("v")) * (middle - F.col("t")) / length, "last": F.col("v"), "null": F.lit(None).cast("double")}[fill]
-    missing = holes.select(F.col("k").alias(key), (F.col("cell") * F.col("step")).alias("slot_start"), F.lit("missing").alias("status"), F.lit(0).cast("bigint").alias("n"), F.when(~counter, filled).alias("value"), F.when(counter, share(F.col("cell"))).alias("increment"))
-
-    # cells with a reading: the reading's own interval begins in its cell, the interval may end in another cell
-    own = F.struct(F.col("slot").alias("cell"), F.lit(1).cast("bigint").alias("n"), F.col("v").alias("x"), F.when(counter & F.col("nt").isNotNull(), share(F.col("slot"))).alias("inc"))
-    far = F.struct(F.col("nslot").alias("cell"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x"), share(F.col("nslot")).alias("inc"))
-    parts = pairs.select("k", "step", counter.alias("counter"), F.explode(F.when(counter & (F.col("nslot") > F.col("slot")), F.array(own, far)).otherwise(F.array(own))).alias("p"))
-    seen = parts.groupBy("k", "step", "counter", F.col("p.cell").alias("cell")).agg(F.sum("p.n").alias("n"), F.avg("p.x").alias("x"), F.sum("p.inc").alias("inc"))
-    observed = seen.select(F.col("k").alias(key), (F.col("cell") * F.col("step")).alias("slot_start"), F.lit("observed").alias("status"), "n", F.when(~F.col("counter"), F.col("x")).alias("value"), F.when(F.col("counter"), F.col("inc")).alias("increment"))
-    return observed.unionByName(missing)
+    rise = F.when(F.col("nv") < F.col("v"), F.col("nv")).otherwise(F.col("nv") - F.col("v"))  # after a reset a counter begins at zero
+    lap = F.least(F.col("nt"), (cell + 1) * step) - F.greatest(F.col("t"), cell * step)
+    line = F.col("v") + (F.col("nv") - F.col("v")) * (cell * step + step / 2 - F.col("t")) / length
+    hole = ~F.col("counter") & ~own
+    parts = cells.groupBy("k", "step", "counter", "cell").agg(
+        F.count_if(own).alias("n"),
+        F.avg(F.when(~F.col("counter") & own, F.col("v"))).alias("mean"),
+        F.max(F.when(hole, line)).alias("line"),
+        F.max(F.when(hole, F.col("v"))).alias("before"),
+        F.sum(F.when(F.col("counter"), F.when(length > 0, rise * lap / length).otherwise(rise))).alias("increment"),
+    )
+    # a cell without a reading is there because an interval put a value or a share into it
+    status = F.when(F.col("n") > 0, "observed").when(F.coalesce("line", "increment").isNotNull(), "missing")
+    filled = {"linear": F.col("line"), "last": F.col("before"), "null": F.lit(None).cast("double")}[fill]
+    return parts.select(F.col("k").alias(key), (cell * step).alias("slot_start"), status.alias("status"), "n", F.when(F.col("n") > 0, F.col("mean")).otherwise(filled).alias("value"), "increment")

@@ -50,8 +50,8 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """The cells of the written grid that are marked as missing."""
-    return cut(_grid(spark, d), "grid").where("status = 'missing'").select("series_id", "slot_start")
+    """The cells of the grid that are marked as missing."""
+    return _grid(spark, d).where("status = 'missing'").select("series_id", "slot_start")
 
 
 def p5_entries(spark: SparkSession, d: str) -> DataFrame:
