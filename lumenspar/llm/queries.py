@@ -25,21 +25,19 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.PiiFinder.fit(pii.fields(logs)).redact(logs)
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """All documents' texts, spread over the cores once for the three passes over them."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    wide = spread(docs)
-    return docs if wide is docs else cut(wide)
+def _hashes(spark: SparkSession, d: str) -> DataFrame:
+    """All documents' words, read and hashed once for the passes over them."""
+    return cut(leakage.hashed(spread(table(spark, d, "documents").select("doc_id", "text")), "text", "doc_id"), "words")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = _texts(spark, d)
+    docs = _hashes(spark, d)
     return leakage.LeakFinder.fit(docs, table(spark, d, "eval_items")).verbatim(docs)
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Leaking documents and items with similarity, common words and answer, paraphrases included."""
-    docs = _texts(spark, d)
+    docs = _hashes(spark, d)
     return leakage.LeakFinder.fit(docs, table(spark, d, "eval_items")).report(docs)
 
 
