@@ -1,6 +1,9 @@
+import random
+import time
+
 import pytest
 
-from lumenspar.llm.sentences import sentences, split_sentences
+from lumenspar.llm.sentences import LONG, _short, best_spans, sentences, split_sentences
 
 
 @pytest.mark.parametrize(
@@ -60,3 +63,60 @@ def test_spans_cover_everything_but_white_space(spark):
     assert len(got[6]) == 20_000
     assert split_sentences(df).count() == sum(map(len, got.values())) + len(got[0])
     assert split_sentences(df.where("false")).count() == 0
+
+
+def units(text):
+    return [text[a:b] for a, b in sentences(text)]
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 40, 300])
+@pytest.mark.parametrize(("a", "b"), ['""', "“”", "„“", "«»", "()", "「」"])
+def test_a_quotation_of_any_length_stays_with_its_sentence(n, a, b):
+    inner = " ".join("All of it stopped." for _ in range(n))
+    assert units(f"He said: {a}{inner}{b} and left. Nobody asked.") == [f"He said: {a}{inner}{b} and left.", "Nobody asked."]
+
+
+@pytest.mark.parametrize("n", [63, 64, 70, 150, 1000])
+def test_no_cap_on_the_candidates_of_a_sentence(n):
+    long = "It ran " + "at 3 p.m. and " * n + "then stopped."
+    assert units(f"{long} It was late.") == [long, "It was late."]
+
+
+def test_time_is_linear_in_marks_and_boundaries():
+    def seconds(text):
+        t = time.process_time()
+        sentences(text)
+        return time.process_time() - t
+
+    for piece in ('He said "no. Not now." once. ', "(a. b) c. ", '"', "“x. ", "a.", "Mr. ", "« a. ", '5" wide. ', "x) y. "):
+        small, large = piece * 4_000, piece * 100_000
+        seconds(small)
+        assert seconds(large) < 60 * max(seconds(small), 0.01), piece
+
+
+def test_stray_marks():
+    assert units('A 5" pipe burst. A 7" one held. All fine.') == ['A 5" pipe burst.', 'A 7" one held.', "All fine."]
+    assert units('He said "stop. Then he left. She said "go. Now." and "No. Never." at last. End.')[-2:] == ['She said "go. Now." and "No. Never." at last.', "End."]
+    assert units("It (was fine. Then :) it broke.") == ["It (was fine. Then :) it broke."]
+    assert units("1) One. 2) Two. Done.") == ["1) One.", "2) Two.", "Done."]
+
+
+def test_the_programme_finds_the_best_spans():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(1, 9)
+        cut = sorted(rng.sample(range(1, 1500), 2 * n - 1)) + [1500]
+        begins, ends = [0, *cut[1:-1:2]], cut[::2]
+        gain = [rng.choice([-6, -1, 0.5, 2, 4]) for _ in range(n - 1)] + [0]
+        text = "".join(rng.choice("a. ") for _ in range(1500))
+
+        def score(spans):
+            at = {e: i for i, e in enumerate(ends)}
+            return sum(gain[at[b]] + (_short(text, a, b) if b - a < 4 else -max(0, b - a - LONG) / LONG) for a, b in spans)
+
+        every = []
+        for mask in range(1 << (n - 1)):
+            stops = [j for j in range(n - 1) if mask >> j & 1] + [n - 1]
+            starts = [0, *(j + 1 for j in stops[:-1])]
+            every.append(score([(begins[i], ends[j]) for i, j in zip(starts, stops)]))
+        assert score(best_spans(text, begins, ends, gain)) == pytest.approx(max(every))
