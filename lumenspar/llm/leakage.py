@@ -41,15 +41,29 @@ _WORD = re.compile(r"[^\W_]+")
 DIM = 1 << 13
 
 
+class _Marks(dict):
+    """Code point -> itself, or None for accents and invisible characters; filled as they come."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = c if c < 128 or unicodedata.category(chr(c)) not in ("Mn", "Me", "Cf", "Cc", "Cs", "Co") else None
+        return self[c]
+
+
+_SEEN = _Marks()
+
+
 def words(text: str) -> list[str]:
     """Words of a text for comparison: letters and digits only; no case, accents, markup or invisible characters."""
     if "<" in text:
         text = _TAG.sub("", _BREAK.sub(" ", text))
     if "&" in text:
         text = html.unescape(text)
-    text = _INLINE.sub("", _LINK.sub("]", text))
+    if "](" in text:
+        text = _LINK.sub("]", text)
+    if "*" in text or "`" in text or "_" in text or "~" in text:
+        text = _INLINE.sub("", text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if c < "\u0080" or unicodedata.category(c) not in ("Mn", "Me", "Cf", "Cc", "Cs", "Co"))
+        text = unicodedata.normalize("NFKD", text).translate(_SEEN)
     return _WORD.findall(text.casefold())
 
 
@@ -292,7 +306,9 @@ class LeakFinder:
 
     def _same_runs(self, block: ItemBlock, w: np.ndarray, h: np.ndarray, first: np.ndarray, end: np.ndarray, win: np.ndarray, item: np.ndarray) -> np.ndarray:
         """(document window, item) of the candidates that share `run` words in a row, as pairs of indexes."""
-        u = np.unique(win)
+        live = np.zeros(len(first), bool)
+        live[win] = True
+        u = np.flatnonzero(live)
         at = first[u][:, None] + np.arange(self.run + 1)
         ok = at + self.run <= end[u][:, None]
         pos, owner = at[ok], np.repeat(u, ok.sum(1))
@@ -305,7 +321,10 @@ class LeakFinder:
         same = (w[pos[:, None] + step] == block.words[block.gram_at[g, 1][:, None] + step]).all(1) if len(g) else np.zeros(0, bool)
         n = len(block.ids)
         key = np.unique(owner[same] * n + block.gram_at[g[same], 0])
-        key = key[np.isin(key, np.unique(win * n + item))]
+        live[:] = False
+        live[key // n] = True
+        near = live[win]  # the candidates of windows with such runs, a small part
+        key = key[np.isin(key, win[near] * n + item[near])]
         return np.stack([key // n, key % n], 1)
 
     def _each(self, hashes: DataFrame, doc_id: str, schema: str, fn: Callable) -> DataFrame:
