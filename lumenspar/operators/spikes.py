@@ -8,11 +8,12 @@ A reading is flagged as
   stuck       it is one of `stuck_run` or more readings in a row without any variance.
 Levels, slopes and daily cycles move both medians, so they never count as spikes.
 
-Quantiles come from sketches: logarithmic bins of the steps per source and hour of day, built per partition, merged by
-adding. Step 1 sees each source once, in order of time (a source with more than `hot_rows` rows is cut into segments of
-`segment_rows` readings, each with a halo of the readings next in time, however far), and emits partial sketches and
-loose candidates; step 2 merges the sketches of a source and decides. Only hot sources are shuffled more often, to number
-their readings, and no task holds a whole one.
+Quantiles come from sketches: logarithmic bins of the steps per source and hour of day, mergeable by adding. A source is
+seen once, in order of time, by one group of a sorted partition, which sketches its steps, sets its fences by hour and
+flags. A source with more than `hot_rows` rows is cut into segments of `segment_rows` readings, each with a halo of the
+readings next in time, however far; its segments are sketched first, the sketches are merged over partitions, and the fences
+go back to the segments, which flag by them. So every reading is held against the fence of its own hour, and a source gives
+the same flags whether it is cut or not. Only hot sources are shuffled more often, and no task holds a whole one.
 """
 
 from __future__ import annotations
@@ -69,39 +70,105 @@ def _side_medians(v: np.ndarray, g: np.ndarray, reach: int) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
-def _group_median(x: np.ndarray, g: np.ndarray, groups: int) -> np.ndarray:
-    order = np.lexsort((x, g))
-    size = np.bincount(g, minlength=groups)
-    first = np.cumsum(size) - size
-    mid = first + np.maximum(size - 1, 0) // 2
-    return np.where(size > 0, x[order[np.minimum(mid, len(x) - 1)]] if len(x) else np.nan, np.nan)
+def sketch_bins(step: np.ndarray) -> np.ndarray:
+    """The logarithmic bin of each step."""
+    with np.errstate(divide="ignore"):
+        return np.where(step > 0, np.ceil(np.log(step) / math.log(GAMMA)), -20000).clip(-20000, 20000).astype(np.int64)
 
 
-STEP1 = "k bigint, what int, t bigint, v double, dev double, hour int, bin int, n bigint, before bigint, after bigint"
-SKETCH, COUNT, CANDIDATE, STUCK, IMPOSSIBLE = range(5)
+def _limits(group: np.ndarray, b: np.ndarray, n: np.ndarray, groups: int, fence: float) -> tuple[np.ndarray, np.ndarray]:
+    """(Q3 + fence * (Q3 - Q1), number of steps) of each group, of its sketch (bins b with counts n)."""
+    order = np.lexsort((b, group))
+    group, b, cum = group[order], b[order], np.cumsum(n[order])
+    total = np.bincount(group, n[order], groups).astype(np.int64)
+    before = np.cumsum(total) - total
+    out = np.full(groups, np.inf)
+    some = np.flatnonzero(total)
+    if len(some):
+        pick = lambda q: b[np.searchsorted(cum, before[some] + q * (total[some] - 1), side="right")]
+        value = lambda x: np.where(x <= -20000, 0.0, 2 * GAMMA ** x.astype(float) / (GAMMA + 1))
+        q1, q3 = value(pick(0.25)), value(pick(0.75))
+        out[some] = q3 + fence * (q3 - q1)
+    return out, total
 
 
-def scan(tab: pa.Table, start: np.ndarray, least: int, reach: int, stuck_run: int, loose: float) -> pa.RecordBatch:
-    """Step 1 on whole (k, seg) groups sorted by (k, seg, t, arrival): the first row of a group carries its code in v."""
+def hour_fences(g: np.ndarray, hour: np.ndarray, b: np.ndarray, n: np.ndarray, groups: int, fence: float, context: int) -> np.ndarray:
+    """The fence of each group and hour: of the hour's own steps if they are at least `context`, else of all steps."""
+    own, many = _limits(g * 24 + hour, b, n, groups * 24, fence)
+    every, _ = _limits(g, b, n, groups, fence)
+    return np.maximum(np.where(many.reshape(groups, 24) >= context, own.reshape(groups, 24), every[:, None]), 1e-12)
+
+
+STEP1 = "k bigint, what int, t bigint, v double, n bigint, before bigint"
+SKETCHED = "k bigint, hour int, bin int, n bigint"
+COUNT, CANDIDATE, STUCK, IMPOSSIBLE = range(4)
+
+
+def _readings(tab: pa.Table, start: np.ndarray) -> tuple:
+    """Columns of whole (k, seg) groups sorted by (k, seg, t, arrival), without what describes the group: its first row
+    carries its code in v, those after it (arrival: the hour) the fences of a source that is cut."""
     t, v, halo = tab.column("t").to_numpy(), tab.column("v").to_numpy(zero_copy_only=False), tab.column("halo").to_numpy(zero_copy_only=False).astype(bool)
     k = tab.column("k").to_numpy()
-    size = np.diff(np.append(start, len(t)))
-    g = np.repeat(np.arange(len(start)), size)
-    is_meta = t == META_T
+    g = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(t))))
+    about = t == META_T
+    hour = tab.column("arrival").fill_null(-1).to_numpy()
     code = np.full(len(start), -1)
-    code[g[is_meta]] = v[is_meta].astype(int)
+    head = about & (hour < 0)
+    code[g[head]] = v[head].astype(int)
+    fences = np.full((len(start), 24), np.inf)
+    given = about & (hour >= 0)
+    fences[g[given], hour[given]] = v[given]
     segment = code >= CUT
     code[segment] -= CUT
-    keep = ~is_meta
+    keep = ~about
     keep[1:] &= (t[1:] != t[:-1]) | (g[1:] != g[:-1])
     keep &= code[g] >= 0  # readings of no known source
-    t, v, halo, k, g = t[keep], v[keep], halo[keep], k[keep], g[keep]
+    return k[keep], g[keep], t[keep], v[keep], halo[keep], code, segment, fences
+
+
+def _steps(g: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(has a reading before it in its group, |step from it|)."""
+    same = np.zeros(len(g), bool)
+    same[1:] = g[1:] == g[:-1]
+    return same, np.where(same, np.abs(np.diff(v, prepend=v[:1])), np.nan)
+
+
+def _counted(g: np.ndarray, hour: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(g, hour, bin, count) of the distinct bins."""
+    u, n = np.unique((g * 24 + hour) * 65536 + b + 32768, return_counts=True)
+    return u // 65536 // 24, u // 65536 % 24, u % 65536 - 32768, n
+
+
+def sketch(tab: pa.Table, start: np.ndarray) -> pa.RecordBatch:
+    """The steps of segments of hot sources, counted by hour and bin."""
+    k, g, t, v, halo, code, _, _ = _readings(tab, start)
+    live = code[g] % 2 == 1
+    k, g, t, v, halo = k[live], g[live], t[live], v[live], halo[live]
+    same, step = _steps(g, v)
+    s = np.flatnonzero(same & ~halo)
+    at, hour, b, n = _counted(g[s], (t[s] // 3_600_000 % 24).astype(np.int64), sketch_bins(step[s]))
+    source = np.zeros(len(start), np.int64)
+    source[g] = k
+    return pa.record_batch([pa.array(source[at]), pa.array(hour.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n)], names=["k", "hour", "bin", "n"])
+
+
+def merged_fences(tab: pa.Table, start: np.ndarray, fence: float, context: int) -> pa.RecordBatch:
+    """(k, hour, fence) of hot sources from the merged sketches of their segments."""
+    g = np.repeat(np.arange(len(start)), np.diff(np.append(start, tab.num_rows)))
+    f = hour_fences(g, tab.column("hour").to_numpy().astype(np.int64), tab.column("bin").to_numpy().astype(np.int64), tab.column("n").to_numpy(), len(start), fence, context)
+    k = tab.column("k").to_numpy()[start]
+    return pa.record_batch([pa.array(np.repeat(k, 24)), pa.array(np.tile(np.arange(24), len(k)).astype(np.int64)), pa.array(f.ravel())], names=["k", "hour", "fence"])
+
+
+def scan(tab: pa.Table, start: np.ndarray, least: int, reach: int, stuck_run: int, fence: float, context: int) -> pa.RecordBatch:
+    """Flags of whole sources and of segments; of the latter `decide` counts the readings and joins the runs."""
+    k, g, t, v, halo, code, segment, fences = _readings(tab, start)
     out: list[tuple] = []
 
     def emit(what: int, at: np.ndarray, **cols: np.ndarray) -> None:
         if len(at):
             z = np.zeros(len(at), np.int64)
-            out.append(tuple(cols.get(c, d) for c, d in (("k", k[at]), ("what", z + what), ("t", t[at]), ("v", v[at]), ("dev", z * 1.0), ("hour", z), ("bin", z), ("n", z), ("before", z), ("after", z))))
+            out.append((k[at], z + what, t[at], v[at], cols.get("n", z), cols.get("before", z)))
 
     lo = np.array([x for u in UNITS for x in [UNIT_LIMITS.get(u, OTHER_LIMITS)[0]] * 2])
     hi = np.array([x for u in UNITS for x in [UNIT_LIMITS.get(u, OTHER_LIMITS)[1]] * 2])
@@ -111,86 +178,43 @@ def scan(tab: pa.Table, start: np.ndarray, least: int, reach: int, stuck_run: in
     live = (c % 2 == 1) & (segment[g] | (whole[g] >= least))  # of a segment, only step 2 knows how many its source has
     if live.any():
         t, v, halo, k, g = t[live], v[live], halo[live], k[live], g[live]
-        same = np.zeros(len(g), bool)
-        same[1:] = g[1:] == g[:-1]
-        step = np.where(same, np.abs(np.diff(v, prepend=v[:1])), np.nan)
+        same, step = _steps(g, v)
         own = ~halo
         ug, at = np.unique(g[own], return_index=True)
         emit(COUNT, np.flatnonzero(own)[at], n=np.bincount(g[own], minlength=len(start))[ug])
         # stuck: runs of equal values
         run = np.cumsum(~(same & (step == 0)))
-        length = np.bincount(run)[run]
-        emit(STUCK, np.flatnonzero(own & (length >= stuck_run)))
-        # sketches of the steps
+        emit(STUCK, np.flatnonzero(own & (np.bincount(run)[run] >= stuck_run)))
+        # spikes: off the band of both sides by more than the hour's fence, which whole sources set here
         hour = (t // 3_600_000 % 24).astype(np.int64)
-        s = np.flatnonzero(same & own)
-        with np.errstate(divide="ignore"):
-            b = np.where(step[s] > 0, np.ceil(np.log(step[s]) / math.log(GAMMA)), -20000).clip(-20000, 20000).astype(np.int64)
-        key = (g[s] * 24 + hour[s]) * 65536 + b + 32768
-        u, first, cnt = np.unique(key, return_index=True, return_counts=True)
-        emit(SKETCH, s[first], hour=hour[s][first], bin=b[first], n=cnt)
-        # candidates: far off the band of both sides by a loose measure of this group's own steps
+        s = np.flatnonzero(same & ~segment[g])
+        fences = np.where(segment[:, None], fences, hour_fences(*_counted(g[s], hour[s], sketch_bins(step[s])), len(start), fence, context))
         left, right = _side_medians(v, g, reach)
         low, high = np.fmin(left, right), np.fmax(left, right)
         both = ~np.isnan(left) & ~np.isnan(right)
         dev = np.where(v < low, low - v, np.where(v > high, v - high, 0.0))
-        typical = _group_median(step[same], g[same], len(start))
-        cand = np.flatnonzero(own & both & (dev > 0) & (dev > loose * typical[g]))
-        before, after = np.where(same, np.roll(t, 1), META_T), np.where(np.append(same[1:], False), np.roll(t, -1), META_T)
-        emit(CANDIDATE, cand, dev=dev[cand], hour=hour[cand], before=before[cand], after=after[cand])
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        cand = np.flatnonzero(own & both & (dev > fences[g, hour]))
+        emit(CANDIDATE, cand, before=np.where(same, np.roll(t, 1), META_T)[cand])
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
     names = [x.split()[0] for x in STEP1.split(", ")]
     cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * len(types)
     return pa.record_batch([pa.array(x.astype(y.to_pandas_dtype())) for x, y in zip(cols, types, strict=True)], names=names)
 
 
-def _quartiles(b: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    order = np.argsort(b)
-    b, cum = b[order], np.cumsum(n[order])
-    pick = lambda q: b[np.searchsorted(cum, q * (cum[-1] - 1), side="right")]
-    value = lambda x: 0.0 if x <= -20000 else 2 * GAMMA**x / (GAMMA + 1)
-    return value(pick(0.25)), value(pick(0.75))
-
-
-def decide(tab: pa.Table, start: np.ndarray, least: int, fence: float, longest_run: int, context: int) -> pa.RecordBatch:
-    """Step 2 on whole sources: merge the sketches, set the fences, flag."""
-    cols = {c: tab.column(c).to_numpy() for c in tab.column_names}
-    res: list[tuple[int, int, float, str]] = []
-    for a, b in zip(start, np.append(start[1:], tab.num_rows), strict=True):
-        r = {c: x[a:b] for c, x in cols.items()}
-        w = r["what"]
-        for i in np.flatnonzero(w == IMPOSSIBLE):
-            res.append((r["k"][i], r["t"][i], r["v"][i], "impossible"))
-        if r["n"][w == COUNT].sum() < least:
-            continue
-        for i in np.flatnonzero(w == STUCK):
-            res.append((r["k"][i], r["t"][i], r["v"][i], "stuck"))
-        c = np.flatnonzero(w == CANDIDATE)
-        s = np.flatnonzero(w == SKETCH)
-        if not len(c) or not len(s):
-            continue
-        fences: dict[int, float] = {}
-
-        def limit(rows: np.ndarray, bins: np.ndarray = r["bin"], n: np.ndarray = r["n"]) -> float:
-            q1, q3 = _quartiles(bins[rows], n[rows])
-            return q3 + fence * (q3 - q1)
-
-        every = limit(s)
-        for h in np.unique(r["hour"][c]):
-            own = s[r["hour"][s] == h]
-            fences[h] = limit(own) if r["n"][own].sum() >= context else every
-        c = c[np.array([r["dev"][i] > max(fences[r["hour"][i]], 1e-12) for i in c], bool)]
-        c = c[np.argsort(r["t"][c])]
-        run: list[int] = []
-        for i in [*c, None]:
-            if run and (i is None or r["before"][i] != r["t"][run[-1]]):
-                if len(run) <= longest_run:
-                    res += [(r["k"][j], r["t"][j], r["v"][j], "spike") for j in run]
-                run = []
-            if i is not None:
-                run.append(i)
-    k, t, v, why = zip(*res, strict=True) if res else ((), (), (), ())
-    return pa.record_batch([pa.array(k, pa.int64()), pa.array(t, pa.int64()), pa.array(v, pa.float64()), pa.array(why, pa.string())], names=["k", "t", "v", "why"])
+def decide(tab: pa.Table, start: np.ndarray, least: int, longest_run: int) -> pa.RecordBatch:
+    """Step 2 on whole sources sorted by (k, what, t): what has enough readings, and runs that are short enough."""
+    k, what, t, v, n, before = (tab.column(c).to_numpy() for c in ("k", "what", "t", "v", "n", "before"))
+    g = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
+    enough = np.bincount(g, np.where(what == COUNT, n, 0), len(start)) >= least
+    # candidates next to one another form a run
+    c = what == CANDIDATE
+    joins = np.zeros(len(k), bool)
+    joins[1:] = c[1:] & c[:-1] & (g[1:] == g[:-1]) & (before[1:] == t[:-1])
+    run = np.cumsum(~joins)
+    short = np.bincount(run)[run] <= longest_run if len(run) else c
+    why = np.where(what == IMPOSSIBLE, "impossible", np.where(what == STUCK, "stuck", "spike"))
+    keep = (what == IMPOSSIBLE) | enough[g] & ((what == STUCK) | c & short)
+    return pa.record_batch([pa.array(k[keep]), pa.array(t[keep]), pa.array(v[keep]), pa.array(why[keep].astype(object), pa.string())], names=["k", "t", "v", "why"])
 
 
 def _segments(hot: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -223,17 +247,23 @@ def flag_readings(readings: DataFrame, sources: DataFrame, key: str, t: str = "t
     src = readings.select(F.col(key).cast("bigint").alias("k"), F.col(t).cast("bigint").alias("t"), F.nanvl(F.col(v).cast("double"), F.lit(None)).alias("v"), F.col(arrival).cast("bigint").alias("arrival")).where("k is not null and t is not null and v is not null")
     hot = cut(src.groupBy("k").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows).select("k"), "hot")
     many = hot.count()
-    if 0 < many <= broadcast_rows:  # 16 bytes a row; a longer list is joined like any other table
-        hot = F.broadcast(hot)
-    rows = (src.join(hot, "k", "left_anti") if many else src).select("k", F.lit(0).cast("bigint").alias("seg"), "t", "v", "arrival", F.lit(False).alias("halo"))
-    meta = sources.select(F.col(key).cast("bigint").alias("k"), unit_code(F.col(unit), F.coalesce(F.col(continuous), F.lit(False))).cast("double").alias("v")).where("k is not null")
-    meta = meta.select("k", F.lit(0).cast("bigint").alias("seg"), F.lit(META_T).cast("bigint").alias("t"), "v", F.lit(None).cast("bigint").alias("arrival"), F.lit(False).alias("halo"))
+    small = F.broadcast if many <= broadcast_rows else lambda df: df  # 16 bytes a row; a longer list is joined like any other table
+    columns = ["k", "seg", "t", "v", "arrival", "halo"]
+    plain = (src.join(small(hot), "k", "left_anti") if many else src).select("k", F.lit(0).cast("bigint").alias("seg"), "t", "v", "arrival", F.lit(False).alias("halo"))
+    about = sources.select(F.col(key).cast("bigint").alias("k"), unit_code(F.col(unit), F.coalesce(F.col(continuous), F.lit(False))).cast("double").alias("v")).where("k is not null")
+    about = about.select("k", F.lit(0).cast("bigint").alias("seg"), F.lit(META_T).cast("bigint").alias("t"), "v", F.lit(None).cast("bigint").alias("arrival"), F.lit(False).alias("halo"))
+    rows = plain.unionByName(about.join(small(hot), "k", "left_anti") if many else about)
+    order = ["t", "arrival", "v"]
     if many:
-        parts, sizes = _segments(src.join(hot, "k"), max(segment_rows, HALO))
-        rows = rows.unionByName(parts)
-        meta = meta.join(F.broadcast(sizes) if many <= broadcast_rows else sizes, "k", "left").select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("segs", F.lit(1)) - 1)).alias("seg"), "t", F.when(F.col("segs").isNotNull(), F.col("v") + CUT).otherwise(F.col("v")).alias("v"), "arrival", "halo")
-    step1 = map_groups(rows.unionByName(meta), ["k", "seg"], ["t", "arrival", "v"], STEP1, lambda tab, start: scan(tab, start, least, reach, stuck_run, 2.5))
-    step2 = map_groups(step1, ["k"], ["what"], "k bigint, t bigint, v double, why string", lambda tab, start: decide(tab, start, least, fence, longest_run, context))
+        parts, sizes = _segments(src.join(small(hot), "k"), max(segment_rows, HALO))
+        each = small(sizes).select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("segs") - 1)).alias("seg"))
+        codes = about.drop("seg").join(each, "k").withColumn("v", F.col("v") + CUT).select(*columns)
+        parts = cut(parts.unionByName(codes), "segments")  # read twice: to sketch and to flag
+        fences = map_groups(map_groups(parts, ["k", "seg"], order, SKETCHED, sketch).groupBy("k", "hour", "bin").agg(F.sum("n").alias("n")), ["k"], [], "k bigint, hour bigint, fence double", lambda tab, start: merged_fences(tab, start, fence, context))
+        fences = fences.join(each, "k").select("k", "seg", F.lit(META_T).cast("bigint").alias("t"), F.col("fence").alias("v"), F.col("hour").alias("arrival"), F.lit(False).alias("halo"))
+        rows = rows.unionByName(parts).unionByName(fences)
+    step1 = map_groups(rows, ["k", "seg"], order, STEP1, lambda tab, start: scan(tab, start, least, reach, stuck_run, fence, context))
+    step2 = map_groups(step1, ["k"], ["what", "t"], "k bigint, t bigint, v double, why string", lambda tab, start: decide(tab, start, least, longest_run))
     return step2.withColumnRenamed("k", key).withColumnRenamed("t", t)
 
 

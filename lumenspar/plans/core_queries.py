@@ -172,4 +172,33 @@ SQL = {
         s AS (SELECT series_id, p, count(*) FILTER (live AND before >= kept) AS replayed FROM b JOIN c USING (series_id, p) GROUP BY ALL)
         SELECT series_id, p AS period_start, coalesce(n_first, 0) AS n_first, sum_first, min_first, max_first, last_first, rise_first, coalesce(n, 0) AS n, sum, min, max, last, rise, n_late, n_cut, replayed
         FROM c JOIN s USING (series_id, p) LEFT JOIN e USING (series_id, p) LEFT JOIN l USING (series_id, p)""",
+    "p2_found": """
+        WITH q AS (SELECT rec_offset, min(epoch_us(rec_time)) AS a FROM queue_records WHERE topic = 'series' GROUP BY rec_offset),
+        mm AS (SELECT DISTINCT ON (metric) metric, unit FROM metric_meta),
+        m AS (SELECT id AS series_id, metric, unit, metric NOT IN ('queue.depth', 'job.runtime', 'db.pool.open', 'service.can_connect', 'container.memory.limit') AS continuous
+              FROM (SELECT id, min(metric) AS metric FROM series GROUP BY id) JOIN mm USING (metric)),
+        r AS (SELECT DISTINCT ON (series_id, t) series_id, t, v FROM samples JOIN q USING (rec_offset) WHERE v IS NOT NULL AND NOT isnan(v) ORDER BY series_id, t, a, rec_offset, v),
+        x AS (SELECT *, CASE WHEN unit IN ('percent', '%') THEN v < 0 OR v > 100 WHEN unit IN ('fraction', 'boolean') THEN v < 0 OR v > 1 WHEN unit = 'celsius' THEN v < -273.15 ELSE v < 0 END AS bad FROM r JOIN m USING (series_id)),
+        c AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS many FROM x WHERE continuous) WHERE many >= 60),
+        d AS (SELECT series_id, t, v, t // 3600000 % 24 AS h, abs(v - lag(v) OVER w) AS step, row_number() OVER w AS n,
+                     median(v) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS l, median(v) OVER (w ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS f FROM c WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+        e AS (SELECT *, CASE WHEN step > 0 THEN ceil(ln(step) / ln(1.08)) ELSE -20000 END AS b FROM d WHERE step IS NOT NULL),
+        hour AS (SELECT series_id, h, count(*) AS k, list(b ORDER BY b) AS s FROM e GROUP BY ALL),
+        every AS (SELECT series_id, list(b ORDER BY b) AS s FROM e GROUP BY ALL),
+        z AS (SELECT hour.series_id, h, CASE WHEN k >= 120 THEN hour.s ELSE every.s END AS s FROM hour JOIN every USING (series_id)),
+        y AS (SELECT series_id, h, s[floor(0.25 * (len(s) - 1))::BIGINT + 1] AS b1, s[floor(0.75 * (len(s) - 1))::BIGINT + 1] AS b3 FROM z),
+        fence AS (SELECT series_id, h, q3 + 4.5 * (q3 - q1) AS fence FROM (SELECT series_id, h, CASE WHEN b1 > -20000 THEN 2 * 1.08 ** b1 / 2.08 ELSE 0 END AS q1, CASE WHEN b3 > -20000 THEN 2 * 1.08 ** b3 / 2.08 ELSE 0 END AS q3 FROM y)),
+        cand AS (SELECT series_id, t, n, n - row_number() OVER (PARTITION BY series_id ORDER BY n) AS run FROM d JOIN fence USING (series_id, h)
+                 WHERE l IS NOT NULL AND f IS NOT NULL AND greatest(least(l, f) - v, v - greatest(l, f)) > greatest(fence, 1e-12)),
+        spike AS (SELECT series_id, t FROM (SELECT *, count(*) OVER (PARTITION BY series_id, run) AS k FROM cand) WHERE k <= 3),
+        same AS (SELECT series_id, t, sum((step IS NULL OR step <> 0)::INT) OVER (PARTITION BY series_id ORDER BY t) AS run FROM d),
+        stuck AS (SELECT series_id, t FROM (SELECT *, count(*) OVER (PARTITION BY series_id, run) AS k FROM same) WHERE k >= 10),
+        mon AS (SELECT DISTINCT ON (id) id AS monitor_id, regexp_extract(query, ':\\s*[a-z0-9]+:([A-Za-z][\\w.]*)', 1) AS metric FROM monitors),
+        st AS (SELECT DISTINCT monitor_id, group_key, last_value AS v, unit, coalesce(metric = 'queue.depth', FALSE) AS discrete FROM monitor_states LEFT JOIN mon USING (monitor_id) LEFT JOIN mm USING (metric) WHERE last_value IS NOT NULL AND monitor_id IS NOT NULL),
+        sb AS (SELECT *, CASE WHEN unit IN ('percent', '%') THEN v < 0 OR v > 100 WHEN unit IN ('fraction', 'boolean') THEN v < 0 OR v > 1 WHEN unit = 'celsius' THEN v < -273.15 ELSE v < 0 END AS bad FROM st),
+        bins AS (SELECT monitor_id, list(b ORDER BY b) AS s FROM (SELECT monitor_id, CASE WHEN v = 0 THEN 0 ELSE sign(v) * (ceil(ln(abs(v)) / ln(1.02)) + 40000) END AS b FROM sb WHERE NOT bad AND NOT discrete) GROUP BY ALL HAVING count(*) >= 8),
+        quart AS (SELECT monitor_id, CASE WHEN b1 = 0 THEN 0 ELSE sign(b1) * exp((abs(b1) - 40000.5) * ln(1.02)) END AS q1, CASE WHEN b3 = 0 THEN 0 ELSE sign(b3) * exp((abs(b3) - 40000.5) * ln(1.02)) END AS q3
+                  FROM (SELECT monitor_id, s[floor(0.25 * (len(s) - 1))::BIGINT + 1] AS b1, s[floor(0.75 * (len(s) - 1))::BIGINT + 1] AS b3 FROM bins))
+        SELECT DISTINCT 'samples' AS tbl, series_id AS id, t::VARCHAR AS pos FROM (SELECT series_id, t FROM x WHERE bad UNION ALL SELECT * FROM spike UNION ALL SELECT * FROM stuck)
+        UNION SELECT DISTINCT 'monitor_states', monitor_id, group_key FROM sb LEFT JOIN quart USING (monitor_id) WHERE bad OR (NOT discrete AND (v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)))""",
 }

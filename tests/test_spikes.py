@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lumenspar.operators.spikes import flag_groups, flag_readings
+from lumenspar.operators.spikes import GAMMA, _counted, flag_groups, flag_readings, hour_fences, sketch_bins
 
 
 def series(rng, k, n, level=50.0, noise=1.0):
@@ -82,3 +83,32 @@ def test_groups(spark):
     got = {(r["src"], r["grp"], r["why"]) for r in flag_groups(df, "src", "grp", "x", "unit", impossible_only=F.col("only")).collect()}
     assert got == {(1, "low", "outside"), (1, "neg", "impossible"), (1, "hot", "outside"), (2, "n", "impossible")}
     assert flag_groups(df.where("false"), "src", "grp", "x", "unit").count() == 0
+
+
+def test_quiet_hours_have_their_own_fences(spark):
+    """Spikes in quiet hours are far below what the loud hours of the same source do all the time; cut or not."""
+    rng = random.Random(6)
+    a = []
+    for i in range(24 * 60 * 6):  # six days, a reading a minute; hours 0 to 5 quiet, the others loud
+        quiet = i // 60 % 24 < 6
+        a.append((1, i * 60_000, 50 + rng.gauss(0, 0.01 if quiet else 40), i))
+    hits = [day * 1440 + m for day, m in ((0, 90), (1, 100), (1, 200), (2, 30), (3, 301), (4, 222), (5, 17), (5, 345))]
+    for i in hits:
+        a[i] = (*a[i][:2], a[i][2] + 5.0, i)
+    whole = flags(spark, a, [(1, "watt", True)], context=20)
+    assert {t // 60_000 for _, t, w in whole if t // 60_000 // 60 % 24 < 6 and w == "spike"} >= set(hits)
+    assert flags(spark, a, [(1, "watt", True)], context=20, hot_rows=1000, segment_rows=700) == whole
+
+
+def test_fences_are_the_sketch_quartiles():
+    rng = np.random.default_rng(1)
+    step = np.abs(rng.normal(0, 3, 4000)) * (rng.random(4000) > 0.1)
+    g, hour = rng.integers(0, 3, 4000), rng.integers(0, 24, 4000)
+    got = hour_fences(*_counted(g, hour, sketch_bins(step)), 4, 4.5, 50)
+    for i in range(3):
+        for h in range(24):
+            own = step[(g == i) & (hour == h)]
+            b = np.sort(sketch_bins(own if len(own) >= 50 else step[g == i]))
+            q1, q3 = (0.0 if x <= -20000 else 2 * GAMMA**x / (GAMMA + 1) for x in (float(b[int(q * (len(b) - 1))]) for q in (0.25, 0.75)))
+            assert got[i, h] == max(q3 + 4.5 * (q3 - q1), 1e-12)
+    assert np.isinf(got[3]).all()
