@@ -1,7 +1,7 @@
 """A log query as one two-valued filter column.
 
 Labels and the message are compared in the JVM. Only a query that looks into attributes reads `attr_flat`, an array of
-(path, text, num, is_string) per log made by one Arrow function from the raw JSON, which keeps numbers as they were
+(path, text, num, is_string, is_object) per log made by one Arrow function from the raw JSON, which keeps numbers as they were
 written; with_attributes() adds it.
 """
 
@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from lumenspar.logql.syntax import All, And, Attr, Label, Node, Not, Or, Text, parse
 from lumenspar.model import glob
 
-FLAT = "array<struct<path:string,text:string,num:double,is_string:boolean>>"
+FLAT = "array<struct<path:string,text:string,num:double,is_string:boolean,is_object:boolean>>"
 
 
 class _Num(str):
     """A JSON number as its digits."""
 
 
-def flatten(attrs: str | None) -> list[tuple[str, str, float | None, bool]]:
+def flatten(attrs: str | None) -> list[tuple[str, str, float | None, bool, bool]]:
     """Every node of a JSON object under its dotted path; arrays add no path. Whole-key spellings come as they are, since
     a key that holds dots joins to the same path."""
     if not attrs:
@@ -31,12 +31,12 @@ def flatten(attrs: str | None) -> list[tuple[str, str, float | None, bool]]:
         o = json.loads(attrs, parse_int=_Num, parse_float=_Num, parse_constant=_Num)
     except (ValueError, RecursionError):
         return []
-    out: list[tuple[str, str, float | None, bool]] = []
+    out: list[tuple[str, str, float | None, bool, bool]] = []
 
     def walk(path: str, v: object) -> None:
         if isinstance(v, dict):
             if path:
-                out.append((path, _dump(v), None, False))
+                out.append((path, _dump(v), None, False, True))
             for k, x in v.items():
                 walk(f"{path}.{k}" if path else k, x)
         elif isinstance(v, list):
@@ -47,11 +47,11 @@ def flatten(attrs: str | None) -> list[tuple[str, str, float | None, bool]]:
                 n = float(v)
             except ValueError:
                 n = None
-            out.append((path, str(v), n if n is not None and abs(n) != float("inf") else None, False))
+            out.append((path, str(v), n if n is not None and abs(n) != float("inf") else None, False, False))
         elif isinstance(v, str):
-            out.append((path, v, None, True))
+            out.append((path, v, None, True, False))
         elif v is None or isinstance(v, bool):
-            out.append((path, {None: "null", True: "true", False: "false"}[v], None, False))
+            out.append((path, {None: "null", True: "true", False: "false"}[v], None, False, False))
 
     if isinstance(o, dict):
         walk("", o)
@@ -66,9 +66,24 @@ def _dump(v: object) -> str:
     return str(v) if isinstance(v, _Num) else json.dumps(v, ensure_ascii=False)
 
 
-def with_attributes(logs: DataFrame, attrs: str = "attrs") -> DataFrame:
-    """logs with attr_flat; null and broken attributes are none."""
-    return logs.withColumn("attr_flat", F.udf(flatten, FLAT, useArrow=True)(F.col(attrs)))
+def with_attributes(logs: DataFrame, attrs: str = "attrs", node: Node | None = None) -> DataFrame:
+    """logs with attr_flat; null and broken attributes are none. With a query, only attributes whose raw text could meet
+    one of its leaves are taken apart; the others are left null, which meets none."""
+    c = F.col(attrs)
+    if node is not None:
+        could = c.contains("\\")  # an escape may spell anything
+        for leaf in _leaves(node):
+            part = max(leaf.text.split("*"), key=len).lower() if isinstance(leaf, Text) else leaf.path.rsplit(".", 1)[-1]
+            could = could | (F.lower(c) if isinstance(leaf, Text) else c).contains(part)
+        c = F.when(could, c)
+    return logs.withColumn("attr_flat", F.udf(flatten, FLAT, useArrow=True)(c))
+
+
+def _leaves(node: Node) -> list[Node]:
+    """The leaves of a query that look into attributes."""
+    if isinstance(node, (And, Or)):
+        return [x for n in node.nodes for x in _leaves(n)]
+    return _leaves(node.node) if isinstance(node, Not) else [node] if isinstance(node, (Attr, Text)) else []
 
 
 def uses_attributes(node: Node) -> bool:
@@ -124,9 +139,9 @@ def _compare(a: Column, n: Attr) -> Column:
         return F.coalesce(num.between(n.lo, n.hi), no)
     if n.op != "=":
         return F.coalesce({">": num > n.lo, ">=": num >= n.lo, "<": num < n.lo, "<=": num <= n.lo}[n.op], no)
-    same = glob(a["text"], n.value) & ~a["text"].startswith("{")
     if n.value == "*":
-        return F.lit(True)
+        return ~a["is_object"]
+    same = glob(a["text"], n.value) & ~a["is_object"]
     try:
         x = float(n.value)
     except ValueError:
@@ -144,5 +159,5 @@ def compile_filter(logs: DataFrame, text: str) -> DataFrame:
         rest = tuple(x for x in node.nodes if uses_attributes(x))
         node = And(rest) if len(rest) > 1 else rest[0] if rest else All()
     if uses_attributes(node) and "attr_flat" not in logs.columns:
-        return with_attributes(logs).where(condition(node)).drop("attr_flat")
+        return with_attributes(logs, node=node).where(condition(node)).drop("attr_flat")
     return logs.where(condition(node))

@@ -201,4 +201,29 @@ SQL = {
                   FROM (SELECT monitor_id, s[floor(0.25 * (len(s) - 1))::BIGINT + 1] AS b1, s[floor(0.75 * (len(s) - 1))::BIGINT + 1] AS b3 FROM bins))
         SELECT DISTINCT 'samples' AS tbl, series_id AS id, t::VARCHAR AS pos FROM (SELECT series_id, t FROM x WHERE bad UNION ALL SELECT * FROM spike UNION ALL SELECT * FROM stuck)
         UNION SELECT DISTINCT 'monitor_states', monitor_id, group_key FROM sb LEFT JOIN quart USING (monitor_id) WHERE bad OR (NOT discrete AND (v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)))""",
+    "p5_found": """
+        WITH l AS (SELECT DISTINCT ON (file_name, line_no) file_name, line_no, source, line FROM log_lines WHERE file_name IS NOT NULL AND line_no IS NOT NULL ORDER BY file_name, line_no, line DESC),
+        f AS (SELECT *, CASE WHEN line LIKE '{%' AND json_valid(line) THEN json_type(line) = 'OBJECT' ELSE FALSE END AS obj,
+            CASE source WHEN 'python' THEN regexp_extract(line, '^(\\d{4}-\\d{2}-\\d{2}[ T]\\d{2}:\\d{2}:\\d{2}(?:[.,]\\d+)?) (DEBUG|INFO|WARNING|WARN|ERROR|CRITICAL|FATAL) ([\\w.\\-]+) ', ['ts', 'lv', 'co'])
+                WHEN 'sidekiq' THEN regexp_extract(line, '^(\\d{4}\\S+) pid=\\d+ tid=\\S+(?: class=(\\S+))?(?: jid=\\S+)?(?: elapsed=[\\d.]+)? ([A-Z]+): ', ['ts', 'co', 'lv'])
+                WHEN 'postgres' THEN regexp_extract(line, '^(\\d{4}-\\d{2}-\\d{2} [\\d:.]+(?: [A-Z]+)?) \\[\\d+\\](?: [^@\\s]+@(\\S+))? ([A-Z]+\\d?): ', ['ts', 'co', 'lv'])
+                WHEN 'redis' THEN regexp_extract(line, '^\\d+:([XCSM]) (\\d{2} [A-Z][a-z]{2} \\d{4} [\\d:.]+) ([.*#-]) ', ['co', 'ts', 'lv']) END AS h,
+            regexp_extract(line, '^(DEBUG|INFO|WARNING|WARN|ERROR|CRITICAL|FATAL)(?::\\s| ([\\w.\\-]+) |:([\\w.\\-]+):)', ['lv', 'a', 'b']) AS p,
+            CASE WHEN source = 'rails' THEN regexp_extract(line, '^\\[([0-9a-fA-F][0-9a-fA-F-]{7,})\\] ?(.*)$', ['id', 'm']) END AS q FROM l),
+        g AS (SELECT *, CASE WHEN obj THEN coalesce(line->>'level', line->>'levelname', line->>'severity') WHEN h['lv'] <> '' THEN h['lv'] WHEN source = 'python' AND p['lv'] <> '' THEN p['lv'] WHEN source = 'python' AND regexp_matches(line, '^\\d\\d:\\d\\d:\\d\\d: ') THEN 'INFO' END AS lv,
+            CASE WHEN obj THEN CASE source WHEN 'python' THEN line->>'logger' WHEN 'winston' THEN line->>'tag' END WHEN h['lv'] <> '' THEN h['co'] WHEN source = 'python' THEN p['a'] || p['b'] END AS co,
+            CASE WHEN obj THEN coalesce(line->>'timestamp', line->>'time', line->>'ts', line->>'@timestamp') WHEN h['lv'] <> '' THEN h['ts'] END AS ts, coalesce(q['id'], '') AS id, q['m'] AS m FROM f),
+        w AS (SELECT *, lv IS NOT NULL OR obj OR id <> '' AS head FROM g),
+        e AS (SELECT *, coalesce(last_value(CASE WHEN head THEN CASE WHEN id <> '' THEN id ELSE line_no::VARCHAR END END IGNORE NULLS) OVER (PARTITION BY file_name ORDER BY line_no), '') AS entry FROM w),
+        t AS (SELECT *, CASE WHEN regexp_matches(ts, '^\\d{12,}$') THEN ts::BIGINT WHEN regexp_matches(ts, '^\\d{9,11}$') THEN ts::BIGINT * 1000
+                WHEN ts LIKE '% CET' THEN epoch_ms(replace(ts, ' CET', '')::TIMESTAMP) - 3600000
+                WHEN regexp_matches(ts, '^\\d{2} [A-Z]') THEN epoch_ms(strptime(ts, ['%d %b %Y %H:%M:%S.%g', '%d %b %Y %H:%M:%S']))
+                WHEN ts IS NOT NULL THEN epoch_ms(regexp_replace(replace(ts, ' UTC', ''), '(Z|[+-]\\d{2}:?\\d{2})?$', '').replace(',', '.')::TIMESTAMP) - coalesce(CASE WHEN regexp_matches(ts, '[+-]\\d{2}:?\\d{2}$') AND length(ts) > 16 THEN (CASE WHEN regexp_extract(ts, '([+-])\\d{2}:?\\d{2}$', 1) = '-' THEN -1 ELSE 1 END) * (regexp_extract(ts, '[+-](\\d{2}):?\\d{2}$', 1)::BIGINT * 60 + regexp_extract(ts, '[+-]\\d{2}:?(\\d{2})$', 1)::BIGINT) * 60000 END, 0)
+                WHEN m LIKE 'Started %' THEN epoch_ms(regexp_extract(m, ' at (\\d{4}-\\d{2}-\\d{2} [\\d:]+) ', 1)::TIMESTAMP) - (CASE WHEN regexp_matches(m, ' -\\d{4}\\s*$') THEN -1 ELSE 1 END) * (regexp_extract(m, '[+-](\\d{2})\\d{2}\\s*$', 1)::BIGINT * 60 + regexp_extract(m, '[+-]\\d{2}(\\d{2})\\s*$', 1)::BIGINT) * 60000 END AS ms,
+            CASE WHEN m LIKE 'Processing by %' THEN regexp_extract(m, '^Processing by ([\\w:]+)#', 1) ELSE co END AS comp,
+            CASE WHEN m LIKE 'Completed %' THEN regexp_extract(m, '^Completed (\\d{3})\\b', 1)::INT END AS code, regexp_matches(m, '^[A-Z]\\w*(::[A-Z]\\w*)* \\(.*\\):\\s*$') AS boom FROM e),
+        a AS (SELECT file_name, entry, min(line_no) AS first_line, count(*) AS n_lines, bool_or(id <> '') AS rails, arg_min(coalesce(lv, ''), line_no) FILTER (head) AS lv, arg_min(comp, line_no) FILTER (comp <> '') AS component, arg_min(ms, line_no) FILTER (ms <> 0) AS ts_ms, arg_min(code, line_no) FILTER (code IS NOT NULL) AS code, bool_or(boom) AS boom FROM t GROUP BY ALL)
+        SELECT file_name, first_line, n_lines, CASE WHEN rails THEN CASE WHEN boom THEN 'error' WHEN code IS NULL THEN 'warn' WHEN code >= 500 THEN 'error' WHEN code >= 400 THEN 'warn' ELSE 'info' END
+            WHEN upper(lv) IN ('DEBUG', 'DEBUG1', 'DEBUG2', 'DEBUG3', 'DEBUG4', 'DEBUG5', 'SILLY', '20', '.', '-') THEN 'debug' WHEN upper(lv) IN ('WARN', 'WARNING', '40', '#') THEN 'warn' WHEN upper(lv) IN ('ERROR', '50') THEN 'error' WHEN upper(lv) IN ('CRITICAL', 'FATAL', 'PANIC', '60') THEN 'critical' ELSE 'info' END AS level,
+            coalesce(component, '') AS component, coalesce(ts_ms, 0) AS ts_ms FROM a""",
 }

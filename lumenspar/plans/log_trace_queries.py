@@ -83,7 +83,7 @@ def _q(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str | None
 _cols = ["trace_id", "span_id", "service", "name", "resource", "start", "duration", "error"]
 _q("trace_by_id", lambda s, d: traces.trace(adapters.spans(s, d), f"{8:032x}").select(*_cols), f"WITH {SPANS} SELECT {', '.join(_cols)} FROM sp WHERE trace_id = '{8:032x}'")
 _q("trace_view", lambda s, d: traces.trace_view(adapters.spans(s, d)).withColumn("services", F.array_join("services", ",")), f"WITH {SPANS} SELECT trace_id, min(start) AS start, max(start + duration) - min(start) AS duration, count(*) AS span_count, sum(error)::BIGINT AS errors, array_to_string(list_sort(list(DISTINCT service)), ',') AS services, 0::BIGINT AS orphans FROM sp GROUP BY trace_id")
-_q("trace_orphans", lambda s, d: traces.orphans(adapters.spans(s, d).where("not (service = 'shop' and error = 1)")).select("trace_id", "span_id"), f"WITH {SPANS} SELECT trace_id, span_id FROM sp WHERE parent_id IS NOT NULL AND trace_id IN (SELECT trace_id FROM sp WHERE service = 'shop' AND error = 1)")
+_q("trace_orphans", lambda s, d: traces.orphans(adapters.spans(s, d).where("not (service = 'shop' and error = 1)")).select("trace_id", "span_id"), f"WITH {ORDERS}, {LINES} SELECT lpad(lower(to_hex(id)), 32, '0') AS trace_id, lpad(lower(to_hex(n)), 4, '0') || lpad(lower(to_hex(id)), 12, '0') AS span_id FROM c SEMI JOIN (SELECT id FROM o WHERE error = 1) USING (id)")
 _q("trace_entry_search", lambda s, d: traces.search_entries(adapters.spans(s, d), *ALL_US, service="shop", errors=True, min_duration=500_000).select("trace_id", "span_id", "resource", "start", "duration", "status_code", "trace_error"), f"WITH {SPANS}, bad AS (SELECT DISTINCT trace_id FROM sp WHERE error = 1) SELECT trace_id, span_id, resource, start, duration, code AS status_code, trace_id IN (SELECT trace_id FROM bad) AS trace_error FROM sp WHERE service = 'shop' AND start BETWEEN {ALL_US[0]} AND {ALL_US[1]} AND (error = 1 OR trace_id IN (SELECT trace_id FROM bad)) AND duration >= 500000 ORDER BY start DESC, trace_id, span_id LIMIT 50")
 _q("trace_services", lambda s, d: traces.services(adapters.spans(s, d), *ALL_US), f"WITH {SPANS} SELECT DISTINCT 'prod' AS env, service FROM sp")
 _EDGES = f"e AS (SELECT 'prod' AS env, p.service AS parent, x.service AS child, count(*) AS calls, sum(x.error)::BIGINT AS errors, sum(x.duration)::BIGINT AS dur_sum FROM sp x JOIN sp p ON x.trace_id = p.trace_id AND x.parent_id = p.span_id WHERE p.service <> x.service GROUP BY ALL)"

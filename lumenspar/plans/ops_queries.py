@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenspar import model
 from lumenspar.operators import catalog, dashboards, edge, logs, monitors, pipeline, wire
-from lumenspar.plans.metric_queries import DAY, EVENTS, FROM, SAMPLES, TO, engine
+from lumenspar.plans.metric_queries import _BINS, _G, DAY, EVENTS, FROM, SAMPLES, TO, engine
 from lumenspar.sources import adapters
 from lumenspar.sources.tables import table
 
@@ -57,7 +57,11 @@ _q("type_conflict", lambda s, d: catalog.type_conflicts(table(s, d, "events").se
 _q("tag_rules", lambda s, d: catalog.apply_tag_rules(adapters.metric_samples(s, d), s.createDataFrame([("app.event.count", "deny", ["shard"]), ("app.event.value", "allow", ["type"])], "metric string, mode string, keys array<string>")).groupBy("metric", "series_key").agg(F.count("*").alias("n")), f"WITH {EVENTS}, s AS (SELECT * FROM ({SAMPLES['count']})) SELECT 'app.event.count' AS metric, 'app.event.count|' || coalesce('tier:' || tier || ',', '') || 'type:' || type AS series_key, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'app.event.value', 'app.event.value|type:' || type, count(*) FROM s GROUP BY ALL UNION ALL SELECT 'app.event.rate', 'app.event.rate|shard:' || shard || coalesce(',tier:' || tier, '') || ',type:' || type, count(*) FROM s GROUP BY ALL")
 _q("series_limit", lambda s, d: catalog.series_limit(adapters.metric_samples(s, d).where("metric = 'app.event.count'"), 3, DAY).groupBy("accepted").agg(F.count("*").alias("n")), f"WITH {EVENTS}, s AS ({SAMPLES['count']}), k AS (SELECT 'app.event.count|shard:' || shard || coalesce(',tier:' || tier, '') || ',type:' || type AS key, ts_s, ts_s // {DAY} AS w FROM s), f AS (SELECT w, key, row_number() OVER (PARTITION BY w ORDER BY min(ts_s), key) <= 3 AS accepted FROM k GROUP BY w, key) SELECT accepted, count(*) AS n FROM k JOIN f USING (w, key) GROUP BY accepted")
 _q("name_cap", lambda s, d: catalog.cap_values(table(s, d, "lineitem").select("l_returnflag", F.concat(F.lit("r"), (F.col("l_partkey") % 50).cast("string")).alias("res"), F.col("l_orderkey").alias("t")), ["l_returnflag"], "res", "t", 10, "other").groupBy("l_returnflag", "res").agg(F.count("*").alias("n")), "WITH x AS (SELECT l_returnflag, 'r' || (l_partkey % 50) AS res, l_orderkey AS t FROM lineitem), f AS (SELECT l_returnflag, res, row_number() OVER (PARTITION BY l_returnflag ORDER BY min(t), res) <= 10 AS own FROM x GROUP BY l_returnflag, res) SELECT l_returnflag, CASE WHEN own THEN res ELSE 'other' END AS res, count(*) AS n FROM x JOIN f USING (l_returnflag, res) GROUP BY ALL")
-_q("dedupe_append_only", lambda s, d: catalog.append_only(table(s, d, "samples").where("v is not null").select(F.col("series_id").alias("series_key"), (F.col("t") / 1000).cast("bigint").alias("ts_s"), F.col("v").alias("value"), F.struct("rec_offset", "t", "v").alias("arrival")), offset="arrival.rec_offset").groupBy("outcome").agg(F.count("*").alias("n")))
+_q("dedupe_append_only", lambda s, d: catalog.append_only(table(s, d, "samples").where("v is not null").select(F.col("series_id").alias("series_key"), (F.col("t") / 1000).cast("bigint").alias("ts_s"), F.col("v").alias("value"), F.struct("rec_offset", "t", "v").alias("arrival")), offset="arrival.rec_offset").groupBy("outcome").agg(F.count("*").alias("n")), """
+    WITH s AS (SELECT series_id, t // 1000 AS ts, v, rec_offset, t FROM samples WHERE v IS NOT NULL),
+    f AS (SELECT DISTINCT ON (series_id, ts) series_id, ts AS m, v AS held FROM s ORDER BY series_id, ts, rec_offset NULLS FIRST, t, v),
+    w AS (SELECT *, max(ts) OVER (PARTITION BY series_id ORDER BY rec_offset NULLS FIRST, t, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s)
+    SELECT CASE WHEN m IS NULL OR ts > m THEN 'stored' WHEN ts = m AND v = held THEN 'duplicate' ELSE 'rejected' END AS outcome, count(*) AS n FROM w LEFT JOIN f USING (series_id, m) GROUP BY ALL""")
 _q("sketch_last_write", lambda s, d: catalog.last_write(table(s, d, "events").select("user_id", "event_type", "value", "event_id"), ["user_id"], "event_id"), "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id")
 _q("log_redelivery", lambda s, d: catalog.new_logs(x := adapters.event_logs(s, d), x.where("seq % 3 = 0")).select("seq"), "SELECT event_id AS seq FROM events WHERE event_id % 3 <> 0")
 _q("retention_logs_day", lambda s, d: catalog.retain_days(adapters.event_logs(s, d), "ts", 1_706_000_000_000, 7).groupBy("service").agg(F.count("*").alias("n")), "SELECT 'svc-' || (user_id % 4) AS service, count(*) AS n FROM events WHERE epoch_us(ts) // 1000 >= (1706000000000 // 86400000 - 7) * 86400000 GROUP BY ALL")
@@ -101,7 +105,7 @@ def histogram_deltas(s: SparkSession, d: str) -> DataFrame:
 
 
 _q("histogram_deltas", histogram_deltas, f"WITH {_HD}, w AS (SELECT *, lag(c) OVER (PARTITION BY event_type ORDER BY b) AS p FROM h), d AS (SELECT event_type, b, CASE WHEN c[1] < p[1] OR c[2] < p[2] OR c[3] < p[3] THEN c ELSE [c[1] - p[1], c[2] - p[2], c[3] - p[3]] END AS x FROM w WHERE p IS NOT NULL) SELECT event_type, b, unnest([0, 1, 2])::BIGINT AS i, unnest([greatest(0, x[1]), greatest(0, x[2] - greatest(0, x[1])), greatest(0, x[3] - greatest(0, x[1], x[2]))]) AS delta FROM d")
-_q("metric_name_normalize", lambda s, d: table(s, d, "part").select("p_partkey", edge.normalize_name(F.concat_ws(".", "p_brand", "p_type")).alias("name")) if {"p_brand", "p_type"} <= set(table(s, d, "part").columns) else table(s, d, "nation").select(F.col("n_nationkey").alias("p_partkey"), edge.normalize_name(F.col("n_name")).alias("name")))
+_q("metric_name_normalize", lambda s, d: table(s, d, "part").select("p_partkey", edge.normalize_name(F.concat(F.element_at(F.array(F.lit(""), F.lit("9"), F.lit("ü"), F.lit("m" * 190)), (F.col("p_partkey") % 4 + 1).cast("int")), F.concat_ws(".", "p_brand", "p_type"))).alias("name")), f"WITH n AS (SELECT p_partkey, regexp_replace(['', '9', 'ü', '{'m' * 190}'][p_partkey % 4 + 1] || p_brand || '.' || p_type, '[^A-Za-z0-9_.]', '_', 'g') AS n FROM part) SELECT p_partkey, CASE WHEN length(n) <= 200 AND regexp_matches(n, '^[A-Za-z]') THEN n END AS name FROM n")
 _q("tag_normalize", lambda s, d: table(s, d, "series").select(F.explode(F.from_json("tags_json", "array<string>")).alias("t")).select("t").distinct().select("t", edge.normalize_tag(F.col("t")).alias("tag")), "WITH t AS (SELECT DISTINCT unnest(from_json(tags_json, '[\"VARCHAR\"]')) AS t FROM series), k AS (SELECT t, regexp_replace(lower(regexp_extract(t, '^([^:]*)', 1)), '[^a-z0-9_.\\-/]', '_', 'g') AS k, regexp_replace(t, '^[^:]*:?', '') AS v FROM t) SELECT t, CASE WHEN regexp_matches(k, '^[a-z][a-z0-9_.\\-/]*$') THEN CASE WHEN v = '' THEN k ELSE k || ':' || v END END AS tag FROM k")
 
 # wire validation
@@ -135,7 +139,8 @@ def _sql_list(xs: list[str]) -> str:
 _q("log_redact", lambda s, d: table(s, d, "logs").select("seq", F.concat(F.element_at(F.lit([a for a, _ in SECRETS]), (F.col("seq") % len(SECRETS) + 1).cast("int")), F.coalesce("message", F.lit(""))).alias("m")).select("seq", pipeline.redact(F.col("m")).alias("m")).distinct(), f"SELECT DISTINCT seq, {_sql_list([b for _, b in SECRETS])}[seq % {len(SECRETS)} + 1] || regexp_replace(regexp_replace(coalesce(message, ''), '(phone=|token: )[^ ;,]+', '\\1[REDACTED]', 'g'), {_MAIL_SQL}) AS m FROM logs")
 _q("log_redact_attrs", lambda s, d: table(s, d, "logs").select("seq", F.concat(F.expr("left(attrs, length(attrs) - 1)"), F.lit(', "note": "password=hunter2 at a.b@c.org", "deep": {"accessToken": [1, {"x": "}"}], "n": 1.50}}')).alias("attrs")).select("seq", pipeline.redact_attrs(F.col("attrs")).alias("attrs")).distinct(), f"""SELECT DISTINCT seq, regexp_replace(regexp_replace(left(attrs, length(attrs) - 1), '("token"\\s*:\\s*)"[^"]*"', '\\1"[REDACTED]"', 'g'), {_MAIL_SQL}) || ', "note": "password=[REDACTED] at [REDACTED]", "deep": {{"accessToken": "[REDACTED]", "n": 1.50}}}}' AS attrs FROM logs""")
 _q("log_remap", lambda s, d: pipeline.remap(table(s, d, "log_lines").where("line like '{%' and source = 'winston'").select("line_id", F.col("line").alias("attrs"))).select("line_id", "status").groupBy("status").agg(F.count_distinct("line_id").alias("n")), "SELECT CASE WHEN lower(l) IN ('debug', 'silly', '20') THEN 'debug' WHEN lower(l) IN ('warn', 'warning', '40') THEN 'warn' WHEN lower(l) IN ('error', '50') THEN 'error' WHEN lower(l) IN ('critical', 'fatal', '60') THEN 'critical' ELSE 'info' END AS status, count(DISTINCT line_id) AS n FROM (SELECT line_id, coalesce(line->>'level', line->>'levelname', line->>'severity') AS l FROM log_lines WHERE line LIKE '{%' AND source = 'winston') GROUP BY ALL")
-_q("log_multiline", lambda s, d: edge.multiline(table(s, d, "log_lines").where("source = 'redis'").dropDuplicates(["file_name", "line_no"]), "file_name", "line_no", "line", r"^\d+:[XCSM] ").select("file_name", "first_line", "n_lines"), "WITH l AS (SELECT DISTINCT ON (file_name, line_no) file_name, line_no, line FROM log_lines WHERE source = 'redis'), e AS (SELECT *, sum(regexp_matches(line, '^\\d+:[XCSM] ')::INT) OVER (PARTITION BY file_name ORDER BY line_no) AS e FROM l) SELECT file_name, min(line_no) AS first_line, count(*) AS n_lines FROM e GROUP BY file_name, e")
+# each of these sources begins an event with a date or with redis's process id and role
+_q("log_multiline", lambda s, d: edge.multiline(table(s, d, "log_lines").where("source in ('redis', 'sidekiq', 'postgres')").dropDuplicates(["file_name", "line_no"]), "file_name", "line_no", "line", r"^(\d+:[XCSM] |\d{4}-\d{2}-\d{2}[ T])").select("file_name", "first_line", "n_lines"), "WITH l AS (SELECT DISTINCT ON (file_name, line_no) file_name, line_no, line FROM log_lines WHERE source IN ('redis', 'sidekiq', 'postgres')), e AS (SELECT *, sum(regexp_matches(line, '^(\\d+:[XCSM] |\\d{4}-\\d{2}-\\d{2}[ T])')::INT) OVER (PARTITION BY file_name ORDER BY line_no) AS e FROM l) SELECT file_name, min(line_no) AS first_line, count(*) AS n_lines FROM e GROUP BY file_name, e")
 
 # monitors
 
@@ -161,8 +166,25 @@ def monitor_log_count(s: SparkSession, d: str) -> DataFrame:
 
 _q("monitor_log_count", monitor_log_count, f"WITH l AS (SELECT 'svc-' || (user_id % 4) AS scope, epoch_us(ts) // 1000000 // 3600 * 3600 AS b FROM events WHERE event_type = 'error'), c AS (SELECT scope, b, count(*)::DOUBLE AS v FROM l GROUP BY ALL) SELECT x.scope, x.b, coalesce(c.v, 0) AS v FROM (SELECT DISTINCT scope, unnest(range({FROM}, {TO + 1}, 3600)) AS b FROM c) x LEFT JOIN c USING (scope, b)")
 _T = monitors.Thresholds(">", 2.0, 1.5, 1.25, 1.25)
-_q("monitor_replay", lambda s, d: monitors.replay(_ticks(s, d), _T, monitors.Options(min_failures=2, no_data_s=4 * 3600, renotify_s=6 * 3600)))
-_q("monitor_timeline", lambda s, d: monitors.timeline(monitors.replay(_ticks(s, d), _T)))
+
+
+def _machine(min_failures: int, no_data: int, renotify: int) -> str:
+    """The state machine of the thresholds above, one tick after the other."""
+    return f"""k AS (SELECT 'type:' || type AS scope, b + 3600 AS tick, avg(v) OVER w AS v FROM g WINDOW w AS (PARTITION BY type ORDER BY b ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) QUALIFY row_number() OVER (PARTITION BY type ORDER BY b) >= 4),
+    n AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY tick) AS i FROM k),
+    m AS (SELECT scope, 0::BIGINT AS i, NULL::BIGINT AS tick, NULL::DOUBLE AS v, 'OK' AS status, 0::BIGINT AS breaches, 0::BIGINT AS data, 0::BIGINT AS told, FALSE AS seen, '' AS event FROM (SELECT DISTINCT scope FROM n)
+      UNION ALL
+      SELECT scope, i, tick, v, nxt, CASE WHEN v IS NULL AND nxt = 'NO_DATA' THEN 0 ELSE br END, CASE WHEN v IS NULL THEN data ELSE tick END,
+        CASE WHEN seen AND (nxt <> status OR again) THEN tick ELSE told END, seen,
+        CASE WHEN NOT seen THEN '' WHEN nxt <> status THEN CASE nxt WHEN 'ALERT' THEN 'alert' WHEN 'WARN' THEN 'warn' WHEN 'OK' THEN 'recovery' ELSE 'no_data' END WHEN again THEN 'renotify' ELSE '' END
+      FROM (SELECT *, {renotify} > 0 AND nxt IN ('ALERT', 'NO_DATA') AND tick - told >= {renotify} AS again FROM
+        (SELECT *, CASE WHEN v IS NULL THEN CASE WHEN {no_data} > 0 AND data > 0 AND tick - data >= {no_data} THEN 'NO_DATA' ELSE status END
+            WHEN br >= {min_failures} OR (status = 'ALERT' AND v > 1.25) THEN 'ALERT' WHEN v > 1.5 OR (status IN ('WARN', 'ALERT') AND v > 1.25) THEN 'WARN' ELSE 'OK' END AS nxt FROM
+          (SELECT n.scope, n.i, n.tick, n.v, m.status, m.data, m.told, m.seen OR n.v IS NOT NULL AS seen, CASE WHEN n.v IS NULL THEN m.breaches WHEN n.v > 2 THEN m.breaches + 1 ELSE 0 END AS br FROM m JOIN n ON n.scope = m.scope AND n.i = m.i + 1))))"""
+
+
+_q("monitor_replay", lambda s, d: monitors.replay(_ticks(s, d), _T, monitors.Options(min_failures=2, no_data_s=4 * 3600, renotify_s=6 * 3600)).withColumn("value", F.round("value", 6)), f"WITH RECURSIVE {EVENTS}, {_HOURS}, {_machine(2, 14400, 21600)} SELECT scope, tick, round(v, 6) AS value, CASE WHEN seen THEN status END AS status, event FROM m WHERE i > 0")
+_q("monitor_timeline", lambda s, d: monitors.timeline(monitors.replay(_ticks(s, d), _T)), f"WITH RECURSIVE {EVENTS}, {_HOURS}, {_machine(1, 0, 0)}, r AS (SELECT scope, tick, status, lag(status) OVER (PARTITION BY scope ORDER BY tick) AS p FROM m WHERE i > 0 AND seen) SELECT scope, status, tick AS since, lead(tick) OVER (PARTITION BY scope ORDER BY tick) AS until FROM r WHERE status IS DISTINCT FROM p")
 _q("monitor_list", lambda s, d: monitors.list_monitors(table(s, d, "monitors"), table(s, d, "monitor_states")), "WITH s AS (SELECT monitor_id, max(CASE status WHEN 'ALERT' THEN 3 WHEN 'WARN' THEN 2 WHEN 'NO_DATA' THEN 1 ELSE 0 END) AS w, count(*) AS g, count(*) FILTER (status = 'ALERT') AS a FROM (SELECT DISTINCT ON (monitor_id, group_key) * FROM monitor_states) GROUP BY monitor_id) SELECT id, name, ['OK', 'NO_DATA', 'WARN', 'ALERT'][coalesce(w, 0) + 1] AS status, coalesce(g, 0) AS groups, coalesce(a, 0) AS alerting FROM monitors LEFT JOIN s ON id = monitor_id")
 
 # dashboards
@@ -184,7 +206,11 @@ for _i, (_a, _b) in enumerate((x, y) for x in ("sum", "avg", "max") for y in ("s
     _parts.append(f"SELECT 'q{_i}' AS query, x.scope, x.b * 1000 AS ts_ms, round(y.v, 6) AS value FROM (SELECT DISTINCT '{_b}:' || {_b} AS scope, unnest(range({FROM}, {FROM + 30 * DAY}, {DAY})) AS b FROM t) x LEFT JOIN (SELECT '{_b}:' || {_b} AS scope, b, {_a}(v) AS v FROM t GROUP BY ALL) y USING (scope, b)")
 _q("dashboard_batch", dashboard_batch, f"WITH {EVENTS}, s AS ({SAMPLES['count']}), t AS (SELECT type, shard, tier, ts_s // {DAY} * {DAY} AS b, sum(value) AS v FROM s GROUP BY ALL) " + " UNION ALL ".join(_parts))
 _q("dashboard_toplist", lambda s, d: dashboards.toplist(engine(s, d).query("sum:app.event.count{*} by {shard}", FROM, TO, DAY).lines, "max", 4), f"WITH {EVENTS}, s AS ({SAMPLES['count']}), g AS (SELECT 'shard:' || shard AS scope, ts_s // {DAY} AS b, sum(value) AS v FROM s GROUP BY ALL) SELECT scope, max(v) AS value FROM g GROUP BY scope ORDER BY value DESC, scope LIMIT 4")
-_q("dashboard_heatmap", lambda s, d: dashboards.heatmap(engine(s, d).distribution("dist:app.event.dist{*}", FROM, TO, DAY), [0.0, 10.0, 50.0, 100.0, 500.0]))
+BANDS = [0.0, 10.0, 50.0, 100.0, 500.0]
+_q("dashboard_heatmap", lambda s, d: dashboards.heatmap(engine(s, d).distribution("dist:app.event.dist{*}", FROM, TO, DAY), BANDS), f"""WITH {EVENTS}, {_BINS}, x AS (SELECT b, CASE WHEN sg > 0 THEN pow({_G}, ix - 1) WHEN sg < 0 THEN -pow({_G}, ix) ELSE 0 END AS lo, CASE WHEN sg > 0 THEN pow({_G}, ix) WHEN sg < 0 THEN -pow({_G}, ix - 1) ELSE 0 END AS hi, sum(c) AS c FROM bins GROUP BY ALL),
+    edge AS (SELECT unnest({BANDS}::DOUBLE[]) AS band, unnest({[-1e300, *BANDS[1:]]}::DOUBLE[]) AS low, unnest({[*BANDS[1:], 1e300]}::DOUBLE[]) AS high),
+    p AS (SELECT b, band, c * CASE WHEN hi > lo THEN greatest(0, (least(hi, high) - greatest(lo, low)) / (hi - lo)) ELSE (lo >= low AND lo < high)::INT END AS n FROM x, edge)
+    SELECT '*' AS scope, b, band, round(sum(n), 6) AS count FROM p WHERE n > 0 GROUP BY ALL""")
 _q("dashboard_align", lambda s, d: dashboards.align(engine(s, d).query("sum:app.event.count{*} by {type}", FROM, TO, DAY).lines, [f"type:{t}" for t in ("click", "error", "purchase", "signup", "view")]), f"WITH {EVENTS} SELECT x.b * 1000 AS ts_ms, " + ", ".join(f"CASE WHEN count(*) FILTER (type = '{t}') > 0 THEN count(*) FILTER (type = '{t}')::DOUBLE END AS \"type:{t}\"" for t in ("click", "error", "purchase", "signup", "view")) + f" FROM (SELECT unnest(range({FROM}, {FROM + 30 * DAY}, {DAY})) AS b) x LEFT JOIN e ON e.ts_s // {DAY} * {DAY} = x.b GROUP BY x.b")
 
 QUERIES = Q
