@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspar.session import cut
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 CLAIMS = ("email", "id_number", "phone", "address", "name")  # the order in which kinds claim text
 
@@ -31,35 +33,60 @@ _L, _R = r"(?<![\w@+./-])", r"(?![\w@])"
 _W = r"(?:\p{Lu}[\p{Ll}\p{M}]+(?:['’\-]\p{Lu}[\p{Ll}\p{M}]+)*|\p{Lu}['’]\p{Lu}[\p{Ll}\p{M}]+|\p{Lu}{2,}(?:['’\-]\p{Lu}{2,})*|\p{Lu}['’]\p{Lu}{2,})"
 _TITLE = r"(?:Dr|Prof|Mr|Mrs|Ms|Mx|Herr|Frau|Sra?|Mme)\.?"
 _GREET = r"(?i:Dear|Hello|Hi|Hey|Liebe|Lieber|Sehr|Querido|Querida|Cher|Chère|Bonjour|Hallo|Hola|Kennwort|GET|POST|PUT)"
+# words that open a sentence or an order, not a name
+_OPENER = r"(?i:Call|Ask|Tell|Email|Mail|Contact|Meet|Thanks|Thank|From|With|And|The|This|That|These|Our|Your|My|His|Her|Their|When|Where|What|Who|Why|How|If|But|Please|Note|See|Send|Sent|Paid|Call[ei]ng|Called|Regards|Sincerely|Best|Yours|Signed|Attn|Re|Fwd|Subject|User|Name|Customer|Patient|Client|Contacto|Llamar|Für|Von|Por|Para|Pour)"
+_HELLO = r"(?:Dear|Hello|Hi|Hey|Hallo|Hola|Bonjour|Liebe|Lieber|Querido|Querida|Cher|Chère|Caro|Cara|Ciao)"
 _EAST = r"(?:\p{Han}{1,3}[ ·]?(?:\p{Han}{1,3}|\p{Hangul}{1,3}|[\p{Hiragana}\p{Katakana}]{1,4})|\p{Hangul}{1,2} ?\p{Hangul}{1,3})"
 _TOWN = rf"(?:[,\s]\s*(?:(?:Apt|Flat|Unit|Suite) \d+\w?|\d{{1,2}}\.º ?\w|\d{{4,5}}(?= \p{{Lu}})|{_W}(?: {_W})?(?: \d{{4,6}})?)){{0,3}}"
 _STREET = r"(?i:Lane|Road|Rd|Street|St|Avenue|Ave|Blvd|Boulevard|Court|Ct|Drive|Way|Square|Place|Terrace|Close|Crescent)\b\.?"
 SHAPES: dict[str, tuple[str, str]] = {  # labeler -> (kind, expression)
     "email_plain": ("email", r"(?<![\w.+-])[\p{L}\d_.+%-]+@(?:[\p{L}\d-]+\.)+\p{L}{2,}\b"),
     "email_spelt": ("email", r"(?<![\w.+-])[\w.+-]+\s?(?:\(at\)|\[at\]|\{at\}|\bAT\b|\bat\b(?=\s?[\w-]+\s?(?:\(dot\)|\[dot\]|\bdot\b)))\s?[\w-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\bdot\b|\bDOT\b)\s?[\w-]+)+"),
-    "id_keyed": ("id_number", rf"\b(?i:SSN|Steuer-ID|national id|ID card no\.?|passport(?: no\.?)?|driving licen[cs]e(?: no\.?)?|tax id|identity card|personal id)[:# ]*(?=[A-Z0-9])[A-Z]{{0,2}} ?\d[\dA-Z]*(?:[ .\-][\dA-Z]*\d[\dA-Z]*)*(?: [A-D])?{_R}"),
+    "id_keyed": ("id_number", rf"\b(?i:SSN|Steuer-ID|national id|ID card no\.?|passport(?: no\.?| number| nr\.?)?|driving licen[cs]e(?: no\.?| number)?|tax id|identity card|personal id|NHS number|CPF|DNI|NIE|Ausweisnummer|numéro de sécurité sociale)[:# ]*(?=[A-Z0-9])[A-Z]{{0,2}} ?\d[\dA-Z]*(?:[ .\-][\dA-Z]*\d[\dA-Z]*)*(?: [A-D])?{_R}"),
     "id_shape": ("id_number", rf"{_L}(?:\d{{3}}-\d{{2}}-\d{{4}}|[A-CEGHJ-PR-TW-Z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-D]|QQ ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-D]|\d{{3}}\.\d{{3}}\.\d{{3}}-\d{{2}}|\d{{6}}-\d{{5}}|[A-Z]\d{{3}}-\d{{4}}-\d{{4}}|[A-Z]\d{{2}}[A-Z]\d{{5}}|[A-Z]\d{{7}}|\d{{2}} \d{{3}} \d{{3}} \d{{3}})(?![\w-])"),
     "phone_world": ("phone", r"(?<![\w.+-])(?:tel:)?(?:\+\d{1,3}|00\d{1,3}(?=[ .-]))(?:[ .-]?\(?\d{1,5}\)?){2,6}(?![\w@]|[.-]\d)"),
-    "phone_local": ("phone", r"(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?:,? ?(?:ext|x)\.? ?\d{1,5})?(?![\w@]|[.-]\d)|(?<![\w.+-])0\d{3,4} \d{3,4} ?\d{2,4}(?![\w@])|(?<![\w.+-])\d{3}-\d{4},? (?:ext|x)\.? ?\d{1,5}\b"),
+    "phone_local": ("phone", r"(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?:,? ?(?:ext|x)\.? ?\d{1,5})?(?![\w@]|[.-]\d)|(?<![\w.+-])0\d{1,4}[ -]\d{3,4}[ -]?\d{2,4}(?![\w@]|[.-]\d)|(?<=\b(?i:tel|telephone|phone|mobile|cell|fax|telefon|teléfono|téléphone)(?:\.|:|\.:)? )\d{7,15}(?![\w@])|(?<![\w.+-])\d{3}-\d{4},? (?:ext|x)\.? ?\d{1,5}\b"),
     "address_number": ("address", rf"(?:(?:Flat|Apt|Unit|Suite) \d+\w?, ?)?\b\d{{1,5}}[a-zA-Z]?,? (?:[NSEW]\. )?(?:\p{{Lu}}[\p{{L}}'’.\-]* ){{1,3}}{_STREET}{_TOWN}"),
     "address_other": ("address", rf"\b\d{{1,4}}(?: ?(?:bis|ter))?,? (?i:rue|avenue|boulevard|place|chemin|allée|quai) (?:(?:de la|de l['’]|des|du|de|d['’]) ?)?\p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}\-]+)?{_TOWN}|\b(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera) (?:(?:de la|de los|del|de) )?\p{{Lu}}[\p{{L}}\-]+(?: \p{{Lu}}[\p{{L}}\-]+)? \d{{1,4}}\w?{_TOWN}|\b\p{{Lu}}[\p{{Ll}}\-]+(?:str\.|straße|strasse|weg|platz|allee|gasse) \d{{1,4}} ?[a-z]?{_TOWN}|\b(?:Am|An der|An den|Im|Zum|Zur|Auf der|Auf dem) \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)? \d{{1,4}} ?[a-z]?\b{_TOWN}"),
-    "name_shape": ("name", rf"(?<![\w'’\-@.])(?!{_GREET}\b)(?:{_TITLE} {_W}(?: {_W})?|{_W}(?: \p{{Lu}}\.)? {_W}|\p{{Lu}}\. {_W}|{_W}, {_W})(?![\w@])"),
-    "name_east": ("name", rf"(?<![\p{{Han}}\p{{Hangul}}\p{{Hiragana}}\p{{Katakana}}]){_EAST}(?![\p{{Han}}\p{{Hangul}}\p{{Hiragana}}\p{{Katakana}}])"),
+    "name_shape": ("name", rf"(?<![\w'’\-@.])(?!{_GREET}\b)(?!{_OPENER} )(?:{_TITLE} {_W}(?: {_W})?|{_W}(?: \p{{Lu}}\.)? {_W}|\p{{Lu}}\. {_W}|{_W}, {_W})(?![\w@])"),
+    "name_east": ("name", rf"(?<![\p{{Han}}\p{{Hangul}}\p{{Hiragana}}\p{{Katakana}}]){_EAST}(?![\p{{Han}}\p{{Hangul}}\p{{Hiragana}}\p{{Katakana}}])|\p{{Han}}{{2,5}}(?=さん|さま|様|先生|女士)|\p{{Hangul}}{{2,4}}(?= ?(?:씨|님))|(?<=\b{_HELLO} ){_W}(?=[,!.:;]|$)"),
 }
+# words beside personal data: what introduces it and what goes on after it
 BEFORE = {
-    "email": r"(?i)(?:mail(?: is|=)?|e-?mail\)?=\(|from|to|reply-to set to|account:|and|cc|\"(?:to|cc|bcc)\":\"|mailto:|<|\(|old mail)[\s\"(<:]*$",
-    "phone": r"(?i)(?:sms to|call(?:ed|back)?(?: from| to)?|number|phone=?|reach them on|unter|(?<=\s)al|(?<=\s)at|otp/|tel:?|fax|mobile|rückruf unter)[\s:=/]*$",
-    "id_number": r"(?i)(?:doc(?:ument)?=?|gave|same|failed:|passport(?: no\.)?|id|licence|ssn|no\.)[\s:=]*$",
-    "address": r"(?i)(?:ships to|could not find|inconnue ?:|home=|moved from|\bto|lives at|address:?|,)\s*$",
-    "name": r"(?i)(?:dear|signed in as|it's|this is|requested by|handed over by|spoke with|holder=|printed for|updated for|für|llamar a|merge of|and|cc|said|by|from|user)\s*$",
+    "email": r"(?i)(?:e-?mails?|mails?|address|account|contact|from|to|at|is|and|or|cc|bcc|for|of|with|[:=(<\[\"'])[\s\"'(<:=]*$",
+    "phone": r"(?i)(?:sms|text(?:ed)?|call(?:ed|back)?|dial(?:led)?|ring|number|phone|tel|telephone|fax|mobile|cell|handy|rückruf|to|from|at|al|on|under|unter|a|or|and|[:=/(])[\s:=/.(]*$",
+    "id_number": r"(?i)(?:doc(?:ument)?|passport|licen[cs]e|card|identity|id|ssn|tax|number|no|nr|gave|is|was|same|failed|[:=])[\s:=.]*$",
+    "address": r"(?i)(?:ships?|deliver(?:ed|y)?|lives?|moved|from|to|at|in|address|home|street|find|inconnue|is|[:=,])[\s:=]*$",
+    "name": r"(?i)(?:\b(?:dear|hello|hi|hey|mr|mrs|ms|dr|as|by|for|with|of|is|from|to|and|or|cc|user|name|holder|owner|customer|patient|contact|call|called|ask|tell|met|said|für|von|an|a|por|para|pour|de)|['’]s|[=:])[\s\"'(<]*$",
 }
 AFTER = {
-    "name": r"(?i)^(?:\s(?:asked for|refused|al|at|said|wrote|called|zurückgesetzt|and|\(|<)|,\s(?:your|i\b|flat|apt|\d)|;|,?\s?\d)",
-    "phone": r"(?i)^(?:\s(?:texted|not delivered|antes|mail=)|;|/\d|$)",
-    "email": r"(?i)^(?:\s(?:after|thx|is dead|and)|\)|>|\"|:|\?subject|,|$)",
-    "id_number": r"(?i)^(?:\s(?:for review)|;|$)",
-    "address": r"(?i)^(?:$|;|\sto\b)",
+    "name": r"(?i)^(?:\s(?:said|says|asked|asks|wrote|writes|called|calls|replied|refused|has|was|is|at|al|and|zurückgesetzt|\(|<)|,\s(?:your|i\b|you\b|flat|apt|\d)|;|,?\s?\d)",
+    "phone": r"(?i)^(?:\s(?:texted|called|rang|not|is|was|antes|before|after|or|and|ext|mail)|;|,|/\d|\)|$)",
+    "email": r"(?i)^(?:\s(?:after|before|is|was|bounced|thx|and|or|for)|[)>\"':;,\]]|\?subject|$)",
+    "id_number": r"(?i)^(?:\s(?:for|is|was|expired|and)|[;,.)]|$)",
+    "address": r"(?i)^(?:$|[;.)]|\s(?:to|and|is|was)\b)",
 }
+# gazetteers of the gazetteer labeler: widespread given names, family names, and places; the lists may be replaced
+GIVEN = frozenset(
+    "james john robert michael william david richard joseph thomas charles daniel matthew anthony mark paul steven andrew george kevin brian edward peter henry jack oliver harry samuel adam simon martin alexander "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy margaret sandra ashley emily anna emma olivia sophia alice grace chloe lucy julia laura maria helen ruth jane kate claire "
+    "hans peter klaus jürgen wolfgang stefan andreas thomas uwe karl heinz lukas felix jonas ursula renate monika petra sabine heike anja katrin lena jan "
+    "josé juan luis carlos miguel antonio manuel francisco javier pedro pablo jorge diego carmen ana isabel pilar lucía sofía marta elena rosa "
+    "jean pierre michel philippe alain nicolas françois jacques marie nathalie isabelle sylvie catherine camille chloé amélie anaïs "
+    "ivan sergey dmitry alexei mikhail nikolai olga tatiana natalia svetlana irina ahmed mohammed ali omar hassan fatima aisha layla raj amit priya anil sunita wei li ming yuki hiroshi kenji sakura min ji".split()
+)
+FAMILY = frozenset(
+    "smith johnson williams brown jones miller davis wilson anderson taylor thomas moore martin jackson thompson white harris clark lewis robinson walker young allen king wright scott green baker adams nelson hill campbell mitchell roberts carter phillips evans turner parker collins edwards stewart morris murphy cook rogers "
+    "müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann koch bauer richter klein wolf schröder neumann schwarz zimmermann braun krüger "
+    "garcía garcia rodríguez rodriguez martínez martinez hernández lópez lopez gonzález gonzalez pérez perez sánchez sanchez ramírez torres flores rivera gómez díaz moreno álvarez romero ruiz alonso "
+    "bernard dubois robert petit durand leroy moreau simon laurent lefebvre michel roux david bertrand morel fournier girard "
+    "ivanov smirnov kuznetsov popov petrov sokolov khan singh kumar sharma patel gupta nguyen tran kim lee park choi wang chen zhang liu yang huang wu zhou tanaka suzuki sato takahashi watanabe ito yamamoto nakamura kobayashi".split()
+)
+EAST_FAMILY = tuple("王李张張刘劉陈陳杨楊黄黃赵趙吴吳周徐孙孫马馬朱胡郭何高林罗羅郑鄭梁谢謝宋唐许許邓鄧韩韓冯馮曹彭曾田董潘袁蔡蒋蔣余于杜叶葉程苏蘇魏吕呂丁任卢盧김이박최정강조윤장임한오서신권황안송류홍") + ("佐藤", "鈴木", "高橋", "田中", "伊藤", "渡辺", "山本", "中村", "小林", "加藤", "吉田", "山田", "佐々木", "松本", "井上", "木村", "清水", "山口")
+PLACES = frozenset(
+    "london paris berlin madrid rome vienna dublin lisbon munich hamburg cologne frankfurt zürich geneva brussels amsterdam barcelona valencia sevilla lyon marseille lille york boston chicago houston dallas austin denver seattle portland miami atlanta toronto sydney melbourne "
+    "flat apt suite unit lane road rd street st avenue ave blvd boulevard court ct drive way square place terrace close crescent rue calle avenida plaza paseo chemin allée quai straße strasse weg platz gasse".split()
+)
 # words of programs, not of people
 TECH = frozenset(
     "worker pool health check main loop grace period lane cache queue build deploy token order session chunk trace peer range address space name resolution email user limit phone home database error slow query api get post put delete patch head http https json key value node shard index disk memory cpu load thread process service server client request response job task retry timeout lease stop start done info warn warning debug fatal critical system control plane data center control group access gateway load balancer rate limiter circuit breaker event bus message broker garbage collector heap dump stack".split()
@@ -71,6 +98,11 @@ RX_BEFORE = {k: regex.compile(x) for k, x in BEFORE.items()}
 RX_AFTER = {k: regex.compile(x) for k, x in AFTER.items()}
 WORD = regex.compile(r"\w+")
 ORDER = ("email_plain", "email_spelt", "id_keyed", "id_shape", "phone_world", "phone_local", "address_number", "address_other", "name_shape", "name_east")
+SHAPES_OF = {k: [n for n in ORDER if KINDS_OF[n] == k] for k in KINDS}
+# what a text must hold for a shape to be looked for at all: cheaper than the shape, and never narrower
+DIGIT = regex.compile(r"\d")
+NUMBERED = frozenset(("id_number", "phone", "address"))
+NEEDS = {"email_plain": regex.compile("@"), "email_spelt": regex.compile(r"(?i)at"), "name_east": regex.compile(rf"[\p{{Han}}\p{{Hangul}}]|{_HELLO}"), "name_shape": regex.compile(r"\p{Lu}")}
 TLD = frozenset("com org net test example invalid io dev de fr es uk edu gov info local".split())
 TITLES = regex.compile(rf"^{_TITLE} ")
 WORTH = regex.compile(r"[@\p{Lu}\p{Han}\p{Hangul}\d]|\bat\b")
@@ -88,13 +120,15 @@ class Span:
 def _gazetteer(kind: str, text: str) -> int:
     words = [w.lower() for w in WORD.findall(text)]
     if kind == "name":
-        if TITLES.match(text):
+        if TITLES.match(text) or text.startswith(EAST_FAMILY):
             return 1
-        return -1 if words and sum(w in TECH for w in words) * 2 >= len(words) else 0
+        if words and sum(w in TECH for w in words) * 2 >= len(words):
+            return -1
+        return int(any(w in GIVEN or w in FAMILY for w in words))
     if kind == "email":
         return 1 if words and words[-1] in TLD else 0
     if kind == "address":
-        return 1 if any(w in ("flat", "apt", "lane", "road", "rd", "avenue", "blvd", "court", "rue", "calle", "street") for w in words) else 0
+        return 1 if any(w in PLACES or w.endswith(("straße", "strasse", "str", "weg", "platz", "gasse", "allee")) for w in words) else 0
     if kind == "phone":
         return 1 if 7 <= sum(c.isdigit() for c in text) <= 15 else -1
     return 1 if any(not w.isdigit() for w in words) else 0
@@ -107,10 +141,15 @@ def candidates(text: str) -> list[Span]:
         return []
     out: list[Span] = []
     masked = text
+    numbers = DIGIT.search(text) is not None
     for kind in CLAIMS:
-        shapes = [n for n in ORDER if KINDS_OF[n] == kind]
+        if kind in NUMBERED and not numbers:
+            continue
+        shapes = SHAPES_OF[kind]
         got: list[tuple[int, int, set[str]]] = []
         for n in shapes:
+            if n in NEEDS and not NEEDS[n].search(text):
+                continue
             for m in RX[n].finditer(masked):
                 a, b = m.span()
                 while a < b and masked[a].isspace():
@@ -215,6 +254,30 @@ def fields(logs: DataFrame, message: str = "message", attrs: str = "attrs", name
     return logs.select(F.col(key), F.explode(F.array(F.struct(F.lit("message").alias("field"), F.col(message).alias("text")), *get)).alias("f")).select(key, "f.field", "f.text").where("text is not null and text <> ''")
 
 
+SPAN = "kind string, start int, end int, pattern bigint, h bigint, features array<int>"
+
+
+def candidate_spans(texts: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
+    """(key, field, kind, start, end, pattern, h, features): the candidates of every text with their votes as one number,
+    a hash of where they stand, and their features. The rest of the work needs no text."""
+    keys = [c for c in (key, "field") if c in texts.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ix, cols = [], ([], [], [], [], [], [])
+            for i, x in enumerate(b.column(len(keys)).to_pylist()):
+                for s in candidates(x):
+                    ix.append(i)
+                    for c, v in zip(cols, (s.kind, s.start, s.end, pattern(s), zlib.crc32(f"{s.start}|{x}".encode()), features(x, s)), strict=True):
+                        c.append(v)
+            at = pa.array(ix, pa.int64())
+            types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+            yield pa.record_batch([*(b.column(j).take(at) for j in range(len(keys))), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*keys, *(x.split()[0] for x in SPAN.split(", "))])
+
+    schema = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keys)
+    return texts.select(*keys, text).where(F.col(text).isNotNull()).mapInArrow(run, schema + SPAN)
+
+
 class PiiFinder:
     """Fitted reliabilities and span classifier; apply with spans() or redact()."""
 
@@ -223,39 +286,35 @@ class PiiFinder:
 
     @classmethod
     def fit(cls, texts: DataFrame, sample_rows: int = 20_000, text: str = "text") -> PiiFinder:
-        """Vote patterns are counted over all texts; the classifier is fitted on at most `sample_rows` candidate spans:
+        return cls.fit_spans(cut(candidate_spans(texts, text=text), "spans"), sample_rows)
+
+    @classmethod
+    def fit_spans(cls, spans: DataFrame, sample_rows: int = 20_000) -> PiiFinder:
+        """Vote patterns are counted over all candidate_spans; the classifier is fitted on at most `sample_rows` of them:
         of each pattern the 400 with the smallest hashes, whatever the partitions."""
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tally: dict[tuple[str, int], int] = {}
-            kept: dict[tuple[str, int], dict[int, list[int]]] = {}
-            for b in batches:
-                for x in b.column(0).to_pylist():
-                    for s in candidates(x):
-                        k = s.kind, pattern(s)
-                        tally[k] = tally.get(k, 0) + 1
-                        d = kept.setdefault(k, {})
-                        h = zlib.crc32(f"{s.start}|{x}".encode())
-                        if h not in d:
-                            d[h] = features(x, s)
-                            if len(d) > 800:
-                                kept[k] = dict(sorted(d.items())[:400])
-            if tally:
-                flat = [(k, p, n, None, None) for (k, p), n in tally.items()] + [(k, p, 0, h, f) for (k, p), d in kept.items() for h, f in sorted(d.items())[:400]]
-                kind, pat, n, h, feat = zip(*flat, strict=True)
-                yield pa.record_batch([pa.array(kind), pa.array(pat, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(feat, pa.list_(pa.int32()))], names=["kind", "pattern", "n", "h", "features"])
-
-        from lumenspar.session import cut
-
-        got = cut(texts.select(text).mapInArrow(scan, "kind string, pattern bigint, n bigint, h bigint, features array<int>"))
         counts: dict[str, dict[int, int]] = {k: {} for k in KINDS}
-        for r in got.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect():  # at most 3 ** 5 patterns a kind
+        for r in spans.groupBy("kind", "pattern").agg(F.count("*").alias("n")).collect():  # at most 3 ** 5 patterns a kind
             counts[r["kind"]][r["pattern"]] = r["n"]
         reliability = {k: estimate(c) for k, c in counts.items()}
-        rank = F.row_number().over(Window.partitionBy("kind", "pattern").orderBy("h"))  # at most 400 rows per partition and pattern
-        own = got.where("h is not null").dropDuplicates(["kind", "pattern", "h"]).withColumn("r", rank).where("r <= 400")
+        one = spans.groupBy("kind", "pattern", "h").agg(F.min("features").alias("features"))
+        rank = F.row_number().over(Window.partitionBy("kind", "pattern").orderBy("h"))  # cut to 400 in each partition first
+        own = one.withColumn("r", rank).where("r <= 400")
         rows = own.orderBy("h", "kind", "pattern").limit(sample_rows).select("kind", "pattern", "features").collect()
         return cls(train([(list(r["features"]), reliability[r["kind"]][r["pattern"]]) for r in rows]), reliability)
 
+    def classify(self, spans: DataFrame) -> DataFrame:
+        """Those candidate_spans that the classifier takes for personal information."""
+        w = self.weights
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                f = b.column(b.schema.get_field_index("features"))
+                off = f.offsets.to_numpy()
+                z = np.add.reduceat(np.append(w[f.values.to_numpy()], 0.0), off[:-1]) + w[-1] if b.num_rows else np.zeros(0)
+                yield b.filter(pa.array(z > 0))
+
+        return spans.mapInArrow(run, spans.schema)
+
     def find(self, text: str) -> list[Span]:
         out = []
         for s in candidates(text):
@@ -273,13 +332,7 @@ class PiiFinder:
 
     def spans(self, texts: DataFrame, key: str = "seq") -> DataFrame:
         """(key, field, kind, start, end) of every span found, in code points of the text."""
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                got = [(i, s) for i, x in enumerate(b.column(2).to_pylist()) for s in self.find(x)]
-                ix = pa.array([i for i, _ in got], pa.int64())
-                yield pa.record_batch([b.column(0).take(ix), b.column(1).take(ix), pa.array([s.kind for _, s in got], pa.string()), pa.array([s.start for _, s in got], pa.int32()), pa.array([s.end for _, s in got], pa.int32())], names=["k", "field", "kind", "start", "end"])
-
-        return texts.select(F.col(key).alias("k"), "field", "text").mapInArrow(run, f"k {texts.schema[key].dataType.simpleString()}, field string, kind string, start int, end int").withColumnRenamed("k", key)
+        return self.classify(candidate_spans(texts, key)).select(key, "field", "kind", "start", "end")
 
     def redact(self, logs: DataFrame, message: str = "message", attrs: str = "attrs", names: tuple[str, ...] = ("user", "token")) -> DataFrame:
         """logs with the message and the named attributes redacted; all other columns, rows and attributes as they were.

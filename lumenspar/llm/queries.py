@@ -15,8 +15,8 @@ def _winston(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = cut(spread(pii.fields(_winston(spark, d))))  # read twice: to fit and to find
-    return pii.PiiFinder.fit(texts).spans(texts).select("seq", "field", "kind").distinct()
+    spans = cut(pii.candidate_spans(spread(pii.fields(_winston(spark, d)))), "spans")  # read to fit and to classify
+    return pii.PiiFinder.fit_spans(spans).classify(spans).select("seq", "field", "kind").distinct()
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
