@@ -30,8 +30,8 @@ def match(n, r, flat):
         v = next((t[4:] for t in r["tags"] or [] if t.startswith("env:")), "") if n.key == "env" else r[n.key] or ""
         return v != "" if n.value == "*" else g(v, n.value)
     if isinstance(n, S.Text):
-        return any(g(x.lower(), f"*{n.text.lower()}*") for x in [r["message"] or "", *(t for p, t, _, s in flat if s)])
-    vals = [(t, x) for p, t, x, _ in flat if p == n.path]
+        return any(g(x.lower(), f"*{n.text.lower()}*") for x in [r["message"] or "", *(t for p, t, _, s, _ in flat if s)])
+    vals = [(t, x) for p, t, x, _, obj in flat if p == n.path and not obj]
     if n.op == "range":
         return any(x is not None and n.lo <= x <= n.hi for _, x in vals)
     if n.op != "=":
@@ -42,7 +42,7 @@ def match(n, r, flat):
         num = float(n.value)
     except ValueError:
         num = None
-    return any((g(t, n.value) and not t.startswith("{")) or (num is not None and x == num) for t, x in vals)
+    return any(g(t, n.value) or (num is not None and x == num) for t, x in vals)
 
 
 QUERIES = ["", "service:api", "service:a* -host:h1", "status:error OR status:warn", "time*out", '"REFUSED by"', "@ms:250", "@ms:>100", "@ms:[10 TO 300]", "-@ms:>100", "@http.status:5*", "@items.sku:B2", "@x:*", "@flag:true", "@n:null", "env:dev", "-env:*", "(service:api OR @ms:<20) NOT refused", "@http:*", "trace_id:ab*", "@ms:2.5e2", "host:*", "100%", "a_b"]
