@@ -227,3 +227,4 @@ SQL = {
             WHEN upper(lv) IN ('DEBUG', 'DEBUG1', 'DEBUG2', 'DEBUG3', 'DEBUG4', 'DEBUG5', 'SILLY', '20', '.', '-') THEN 'debug' WHEN upper(lv) IN ('WARN', 'WARNING', '40', '#') THEN 'warn' WHEN upper(lv) IN ('ERROR', '50') THEN 'error' WHEN upper(lv) IN ('CRITICAL', 'FATAL', 'PANIC', '60') THEN 'critical' ELSE 'info' END AS level,
             coalesce(component, '') AS component, coalesce(ts_ms, 0) AS ts_ms FROM a""",
 }
+HEADS = SQL["p5_found"].split("        e AS (")[0]  # each line once, and what its head tells

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspar import model
-from lumenspar.operators import catalog, dashboards, edge, logs, monitors, pipeline, wire
+from lumenspar.logql import compile as logs_compile
+from lumenspar.operators import catalog, dashboards, edge, log_pipeline, logs, monitors, pipeline, wire
+from lumenspar.plans.core_queries import HEADS
 from lumenspar.plans.metric_queries import _BINS, _G, DAY, EVENTS, FROM, SAMPLES, TO, engine
 from lumenspar.sources import adapters
 from lumenspar.sources.tables import table
@@ -142,6 +144,33 @@ _q("log_remap", lambda s, d: pipeline.remap(table(s, d, "log_lines").where("line
 # each of these sources begins an event with a date or with redis's process id and role
 _q("log_multiline", lambda s, d: edge.multiline(table(s, d, "log_lines").where("source in ('redis', 'sidekiq', 'postgres')").dropDuplicates(["file_name", "line_no"]), "file_name", "line_no", "line", r"^(\d+:[XCSM] |\d{4}-\d{2}-\d{2}[ T])").select("file_name", "first_line", "n_lines"), "WITH l AS (SELECT DISTINCT ON (file_name, line_no) file_name, line_no, line FROM log_lines WHERE source IN ('redis', 'sidekiq', 'postgres')), e AS (SELECT *, sum(regexp_matches(line, '^(\\d+:[XCSM] |\\d{4}-\\d{2}-\\d{2}[ T])')::INT) OVER (PARTITION BY file_name ORDER BY line_no) AS e FROM l) SELECT file_name, min(line_no) AS first_line, count(*) AS n_lines FROM e GROUP BY file_name, e")
 
+# the whole chain over the raw lines, each once
+ACCESS = log_pipeline.Pattern(r'^(?P<level>[A-Z]+):\s+(?P<ip>[\d.]+):(?P<port_int>\d+) - "(?P<method>[A-Z]+) (?P<path>\S+) HTTP/(?P<version_float>[\d.]+)" (?P<code_int>\d{3})', "${method} ${code}")
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "log_lines").dropDuplicates(["file_name", "line_no"]).withColumn("arrival_ms", F.unix_millis("read_at"))
+
+
+_q("log_pipeline", lambda s, d: log_pipeline.run(_lines(s, d)).groupBy("source", "status", "parsed").agg(F.count("*").alias("n")), f"{HEADS.rstrip().rstrip(',')}, s AS (SELECT source, head AS parsed, lower(trim(lv)) AS x, CASE WHEN regexp_matches(lv, '^\\d+$') THEN lv::INT END AS i FROM w) SELECT source, parsed, CASE {_NAMED} WHEN i BETWEEN 0 AND 2 OR i BETWEEN 51 AND 60 THEN 'critical' WHEN i = 3 OR i BETWEEN 41 AND 50 THEN 'error' WHEN i = 4 OR i BETWEEN 31 AND 40 THEN 'warn' WHEN i = 7 OR i BETWEEN 10 AND 20 THEN 'debug' ELSE 'info' END AS status, count(*) AS n FROM s GROUP BY ALL")
+
+
+def log_grok(s: SparkSession, d: str) -> DataFrame:
+    """Access lines by a custom pattern: message template, numbers as numbers, and the fields that a search finds again."""
+    x = log_pipeline.run(_lines(s, d).where("source = 'python'"), {"python": log_pipeline.SourceConfig((ACCESS,))})
+    x = logs_compile.with_attributes(x).where(F.exists("attr_flat", lambda a: (a["path"] == "port") & (a["num"] > 40_000)))
+    return x.groupBy("message", "status", F.get_json_object("attrs", "$.version").alias("version")).agg(F.count("*").alias("n"), F.sum(F.get_json_object("attrs", "$.port").cast("bigint")).alias("ports"))
+
+
+_q("log_grok", log_grok, "WITH l AS (SELECT DISTINCT ON (file_name, line_no) line FROM log_lines WHERE source = 'python'), x AS (SELECT regexp_extract(line, '^([A-Z]+):\\s+[\\d.]+:(\\d+) - \"([A-Z]+) \\S+ HTTP/([\\d.]+)\" (\\d{3})', ['level', 'port', 'method', 'version', 'code']) AS f FROM l) SELECT f['method'] || ' ' || f['code'] AS message, CASE f['level'] WHEN 'DEBUG' THEN 'debug' WHEN 'WARNING' THEN 'warn' WHEN 'WARN' THEN 'warn' WHEN 'ERROR' THEN 'error' WHEN 'CRITICAL' THEN 'critical' WHEN 'FATAL' THEN 'critical' ELSE 'info' END AS status, f['version'] AS version, count(*) AS n, sum(f['port']::BIGINT)::BIGINT AS ports FROM x WHERE f['port'] <> '' AND f['port']::BIGINT > 40000 GROUP BY ALL")
+_q("log_requests", lambda s, d: log_pipeline.requests(table(s, d, "log_lines")).where("method is not null").drop("n_lines"), """
+    WITH l AS (SELECT DISTINCT ON (file_name, line_no) file_name, line_no, regexp_extract(line, '^\\[([0-9a-fA-F][0-9a-fA-F-]{7,})\\] ?(.*)$', ['id', 'm']) AS q FROM log_lines WHERE source = 'rails'),
+    x AS (SELECT file_name, line_no, q['id'] AS id, q['m'] AS m FROM l WHERE q['id'] <> ''),
+    g AS (SELECT file_name, id, min(line_no) AS first_line, min_by(m, line_no) FILTER (m LIKE 'Started %') AS st, min_by(m, line_no) FILTER (m LIKE 'Processing by %#%') AS pr, min_by(m, line_no) FILTER (regexp_matches(m, '^Completed \\d{3}\\b')) AS co, min_by(m, line_no) FILTER (regexp_matches(m, '^[A-Z]\\w*(::[A-Z]\\w*)* \\(.*\\):\\s*$')) AS ex FROM x GROUP BY ALL)
+    SELECT file_name, first_line, regexp_extract(st, '^Started ([A-Z]+)', 1) AS method, nullif(regexp_extract(st, '"([^"?]*)', 1), '') AS path, nullif(regexp_extract(st, '"[^"?]*\\?([^"]*)"', 1), '') AS query, nullif(regexp_extract(pr, 'by ([\\w:]+)#', 1), '') AS controller, nullif(regexp_extract(pr, '#(\\w+)', 1), '') AS action,
+        regexp_extract(co, '^Completed (\\d{3})', 1)::INT AS status_code, TRY_CAST(regexp_extract(co, ' in (\\d+(?:\\.\\d+)?)ms', 1) AS DOUBLE) AS duration_ms, nullif(regexp_extract(ex, '^([\\w:]+) ', 1), '') AS exception, co IS NOT NULL AS complete,
+        CASE WHEN ex IS NOT NULL THEN 'error' WHEN co IS NULL THEN 'warn' WHEN regexp_extract(co, '^Completed (\\d{3})', 1)::INT >= 500 THEN 'error' WHEN regexp_extract(co, '^Completed (\\d{3})', 1)::INT >= 400 THEN 'warn' ELSE 'info' END AS level FROM g WHERE st IS NOT NULL""")
+
 # monitors
 
 MON = 'avg(last_4h):sum:app.event.count{*} by {type}.rollup(sum, 3600) > 1.5'
