@@ -114,13 +114,37 @@ def p6_overlap(spark: SparkSession, d: str) -> DataFrame:
     return SKETCH.pairs(day, "day", days.select((F.col("day") - 1).alias("a"), F.col("day").alias("b")).join(days.select(F.col("day").alias("a")), "a", "left_semi"))
 
 
+def p6_error(spark: SparkSession, d: str) -> DataFrame:
+    """The exact number of distinct series and tag values per day, metric and tag key (one at a time, then over all), and
+    whether the estimate from the sketches is within five of its standard errors."""
+    est = p6_distinct(spark, d)
+    seen = table(spark, d, "samples").where("v is not null").select("series_id", F.floor(F.col("t") / 86_400_000).cast("string").alias("day")).distinct()
+    ids = table(spark, d, "series").where("key is not null").select(F.col("id").alias("series_id"), "metric", F.col("key").alias("x")).distinct()
+    tags = table(spark, d, "series_tags").select("series_id", F.col("key").alias("tag_key"), F.nullif("value", F.lit("")).alias("value")).distinct()
+    s = seen.join(ids, "series_id")
+    sets = [(c,) for c in ("day", "metric")] + [()]
+
+    def exact(df: DataFrame, keys: list[tuple], what: str, x: str) -> DataFrame:
+        out = None
+        for k in keys:
+            g = df.where(F.col(x).isNotNull()).select(*k, x).distinct().groupBy(*k).agg(F.count("*").alias("n"))
+            g = g.select(*(F.col(c) if c in k else F.lit("*").alias(c) for c in ("day", "metric", "tag_key")), F.lit(what).alias("what"), "n")
+            out = g if out is None else out.unionByName(g)
+        return out
+
+    t = s.join(tags, "series_id")
+    all_ = exact(s, sets, "series", "x").unionByName(exact(t, [("tag_key",)], "series", "x")).unionByName(exact(t, [*sets, ("tag_key",)], "value", "value"))
+    j = all_.where("tag_key is not null").join(est, ["day", "metric", "tag_key", "what"], "left")
+    return j.select("day", "metric", "tag_key", "what", "n", F.coalesce(F.abs(F.col("estimate") - F.col("n")) <= 5 * F.greatest(F.col("std_error"), F.lit(0.5)), F.lit(False)).alias("within"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Over the whole table through the seen-bitmaps: whole payloads as the first batch, broken ones as the second, so that
     no later batch brings a better copy of a message."""
     return delivery_dedup.duplicates(table(spark, d, "queue_records"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_aggregates, p2_found, p3_found, p3_grid, p5_found, p5_entries, p6_distinct, p6_overlap, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_aggregates, p2_found, p3_found, p3_grid, p5_found, p5_entries, p6_distinct, p6_overlap, p6_error, p7_found)}
 
 SQL = {
     "p1_found": """
@@ -135,6 +159,13 @@ SQL = {
               FROM samples JOIN m USING (series_id) JOIN (SELECT metric, min(step_s) AS step_s FROM metric_meta GROUP BY metric) USING (metric) WHERE v IS NOT NULL),
         p AS (SELECT series_id, step, slot, lead(slot) OVER (PARTITION BY series_id ORDER BY slot) AS nxt FROM s)
         SELECT series_id, unnest(range(slot + 1, nxt)) * step AS slot_start FROM p WHERE nxt > slot + 1""",
+    "p6_error": """
+        WITH s AS (SELECT DISTINCT m.metric, m.key AS x, m.id, (t // 86400000)::VARCHAR AS day FROM samples JOIN (SELECT DISTINCT id, metric, key FROM series WHERE key IS NOT NULL) m ON m.id = series_id WHERE v IS NOT NULL),
+        t AS (SELECT s.*, g.key AS tag_key, nullif(g.value, '') AS value FROM s JOIN (SELECT DISTINCT * FROM series_tags) g ON g.series_id = s.id),
+        a AS (SELECT day, '*' AS metric, '*' AS tag_key, 'series' AS what, count(DISTINCT x) AS n FROM s GROUP BY ALL UNION ALL SELECT '*', metric, '*', 'series', count(DISTINCT x) FROM s GROUP BY ALL UNION ALL SELECT '*', '*', '*', 'series', count(DISTINCT x) FROM s
+          UNION ALL SELECT '*', '*', tag_key, 'series', count(DISTINCT x) FROM t WHERE tag_key IS NOT NULL GROUP BY ALL UNION ALL SELECT '*', '*', tag_key, 'value', count(DISTINCT value) FROM t WHERE tag_key IS NOT NULL AND value IS NOT NULL GROUP BY ALL
+          UNION ALL SELECT day, '*', '*', 'value', count(DISTINCT value) FROM t WHERE value IS NOT NULL GROUP BY ALL UNION ALL SELECT '*', metric, '*', 'value', count(DISTINCT value) FROM t WHERE value IS NOT NULL GROUP BY ALL UNION ALL SELECT '*', '*', '*', 'value', count(DISTINCT value) FROM t WHERE value IS NOT NULL)
+        SELECT *, TRUE AS within FROM a""",
     "p7_found": """
         WITH RECURSIVE w AS (SELECT delivery_id, topic, rec_offset, payload, CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE FALSE END AS whole FROM queue_records),
         x AS (SELECT delivery_id, coalesce(whole, FALSE) AS whole, 'o/' || topic || '/' || rec_offset AS a,
