@@ -19,12 +19,11 @@ link between messages kept before.
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspar.session import cut, drop_since, mark, scratch
+from lumenspar.sources.versions import VersionedGroups
 
 BITS = 32768
 SPARSE = 2048  # a list of more bits takes more room than a bitmap
@@ -116,35 +115,11 @@ def unite(first: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     return listed.unionByName(maps.select("shard", "bucket", F.lit(None).cast("array<int>").alias("bits"), "bitmap"))
 
 
-class SeenBitmaps:
-    """Seen-bitmaps and the ledger of batches below a folder.
-
-    Buckets are spread over `groups`; a batch writes only the groups it touches anew, below its own name. The manifest
-    names the folder of each group and the batches that are done. It is replaced by a rename, so a batch counts wholly or
-    not at all, and a batch that is done is never worked nor written again, however old it is.
-    """
-
-    MANIFEST = "MANIFEST"
+STATE = "shard string, bucket bigint, bits array<int>, bitmap binary"
 
-    def __init__(self, spark: SparkSession, folder: str, groups: int = 64) -> None:
-        self.spark, self.folder, self.groups = spark, folder.rstrip("/"), groups
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.folder))
 
-    def manifest(self) -> dict:
-        """{"groups": {group: folder}, "done": [batch]}."""
-        if not self._fs.exists(self._path(f"{self.folder}/{self.MANIFEST}")):
-            return {"groups": {}, "done": []}
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.folder}/{self.MANIFEST}").first()[0])
-
-    def _group(self) -> Column:
-        return F.pmod(F.xxhash64("shard", "bucket"), F.lit(self.groups)).cast("int")
-
-    def _seen(self, manifest: dict, touched: set[int]) -> DataFrame | None:
-        paths = sorted(f"{self.folder}/{manifest['groups'][str(g)]}/g={g}" for g in touched if str(g) in manifest["groups"])
-        return self.spark.read.schema("shard string, bucket bigint, bits array<int>, bitmap binary").parquet(*paths) if paths else None
+class SeenBitmaps(VersionedGroups):
+    """Seen-bitmaps below a folder, a row per (shard, bucket), replaced group by group under a ledger of batches."""
 
     def process(self, deliveries: DataFrame, batch: str, out: str, **columns: str) -> bool:
         """Writes (delivery_id) of the deliveries to keep of a batch to `out` and unites its codes; False, with nothing
@@ -163,25 +138,14 @@ class SeenBitmaps:
         if batch in now["done"]:
             return False
         codes = cut(first_arrivals(ids), "codes")
-        touched = {r[0] for r in codes.select(self._group()).distinct().collect()}  # at most `groups` numbers
-        seen = self._seen(now, touched)
+        touched = self.touched(codes, "shard", "bucket")
+        seen = self.read(now, touched, STATE)
         if seen is not None:
             codes = cut(codes.drop("known").join(seen, ["shard", "bucket"], "left").select(*CODE, "first", _known().alias("known")), "codes")
         select_new(ids, codes).select(F.col("kept").alias("delivery_id")).write.mode("overwrite").parquet(out)
-        unite(codes, seen).withColumn("g", self._group()).repartition("g").write.mode("overwrite").partitionBy("g").parquet(f"{self.folder}/{batch}")
-        self._commit({"groups": now["groups"] | {str(g): batch for g in touched}, "done": [*now["done"], batch]}, batch)
+        self.replace(now, touched, cut(unite(codes, seen), "united"), ("shard", "bucket"), batch)
         return True
 
-    def _commit(self, manifest: dict, batch: str) -> None:
-        tmp = self._path(f"{self.folder}/{self.MANIFEST}.{batch}")
-        stream = self._fs.create(tmp, True)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        jvm = self.spark.sparkContext._jvm
-        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri()).rename(tmp, self._path(f"{self.folder}/{self.MANIFEST}"), overwrite)
-
 
 def duplicates(deliveries: DataFrame, **columns: str) -> DataFrame:
     """(delivery_id) of every delivery that isn't the one kept: of each message the smallest with a whole payload, or the

@@ -7,6 +7,9 @@ suffix (on-time and late readings together) on it, and replace the period's outp
 nothing and are counted. `rise` (sum of the increases between neighbouring readings of a period) depends on the order,
 so an insertion can't be patched in; it must be replayed.
 
+`LateEventStore` keeps the ordered readings of open periods between batches, so late readings of a later batch bring back
+their own periods and no other history.
+
 The state key is (key, period), so a hot key is spread over its periods and no task holds more than one period of one
 key beside its batch.
 """
@@ -18,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenspar.session import cut, drop_since, mark
+from lumenspar.sources.versions import VersionedGroups
+
 SCHEMA = (
     "k {key}, period_start bigint, n_first bigint, sum_first double, min_first double, max_first double, last_first double, rise_first double, "
     "n bigint, sum double, min double, max double, last double, rise double, n_late bigint, n_cut bigint, replayed bigint"
@@ -134,3 +140,39 @@ def outcomes(aggregates: DataFrame, key: str) -> DataFrame:
     readings, `cut_off` for periods that refused readings after closing."""
     kinds = F.array_compact(F.array(F.when((F.col("replayed") > 0) & (F.col("n") > F.col("n_first")), F.lit("corrected")), F.when(F.col("n_cut") > 0, F.lit("cut_off"))))
     return aggregates.select(key, "period_start", F.explode(kinds).alias("outcome"))
+
+
+class LateEventStore(VersionedGroups):
+    """The readings of periods that can still change, below a folder; one batch of arrivals after the other."""
+
+    KEY = ("k", "period_start")
+
+    def process(self, readings: DataFrame, batch: str, out: str, key: str, t: str = "t", v: str = "v", arrival: str = "arrival", tie: str | None = None, period_ms: int = 300_000, lateness_ms: int = 7_200_000, keep_ms: int = 604_800_000, **options: int) -> bool:
+        """Writes to `out` the late_event_aggregates of every (key, period) that the batch touches; they replace the rows
+        that earlier batches wrote of these. False, with nothing written, if the batch was done before.
+
+        Batches come in order of arrival; within one any order holds. A period's readings are kept until keep_ms after its
+        closing, by the newest arrival seen; readings of periods older than that are ignored, since their output is final.
+        """
+        now = self.manifest()
+        if batch in now["done"]:
+            return False
+        at = mark()
+        kind = readings.schema[key].dataType.simpleString()
+        schema = f"k {kind}, period_start bigint, t bigint, v double, arrival bigint, tie bigint"
+        p = (F.col(t) - F.pmod(F.col(t), F.lit(period_ms))).cast("bigint")
+        new = cut(readings.select(F.col(key).alias("k"), p.alias("period_start"), F.col(t).cast("bigint").alias("t"), F.nanvl(F.col(v).cast("double"), F.lit(None)).alias("v"), F.col(arrival).cast("bigint").alias("arrival"), (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("tie")).where("t is not null and v is not null and arrival is not null"), "new")
+        clock = new.agg(F.max("arrival")).first()[0] or 0
+        oldest = clock // 1000 - period_ms - lateness_ms - keep_ms
+        new = new.where(F.col("period_start") >= oldest)
+        touched = self.touched(new, *self.KEY)
+        old = self.read(now, touched, schema)
+        every = new
+        if old is not None:
+            old = old.where(F.col("period_start") >= oldest)
+            keys = new.select(F.col("k").alias("nk"), F.col("period_start").alias("np")).distinct()
+            every = new.unionByName(old.join(keys, F.col("k").eqNullSafe(F.col("nk")) & (F.col("period_start") == F.col("np")), "left_semi"))
+        late_event_aggregates(every, "k", tie="tie", period_ms=period_ms, lateness_ms=lateness_ms, **options).withColumnRenamed("k", key).write.mode("overwrite").parquet(out)
+        self.replace(now, touched, cut(new if old is None else new.unionByName(old), "state"), self.KEY, batch)
+        drop_since(at)
+        return True

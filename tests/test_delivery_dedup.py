@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lumenspar.operators.delivery_dedup import SeenBitmaps, duplicates
+from lumenspar.operators.delivery_dedup import STATE, SeenBitmaps, duplicates
 
 SCHEMA = "delivery_id bigint, topic string, rec_offset bigint, payload string, message string"
 
@@ -94,5 +94,5 @@ def test_dense_and_sparse_containers(spark, tmp_path):
     assert s.process(cut(0, 3000), "a", str(tmp_path / "a")) and s.process(cut(2000, len(rows)), "b", str(tmp_path / "b")) and s.process(cut(0, 5005), "c", str(tmp_path / "c"))
     read = lambda n: sorted(r[0] for r in spark.read.schema("delivery_id bigint").parquet(str(tmp_path / n)).collect())
     assert read("a") == list(range(3000)) and read("b") == list(range(3000, 5000)) + [10_000 + i for i in range(5)] + [20_000, 20_001] and read("c") == []
-    got = s._seen(s.manifest(), {0, 1, 2}).selectExpr("sum(case when bits is null then bitmap_count(bitmap) else size(bits) end)", "count_if(bitmap is not null)").first()
+    got = s.read(s.manifest(), {0, 1, 2}, STATE).selectExpr("sum(case when bits is null then bitmap_count(bitmap) else size(bits) end)", "count_if(bitmap is not null)").first()
     assert tuple(got) == (5005, 1)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lumenspar.operators.late_events import late_event_aggregates, outcomes
+from lumenspar.operators.late_events import LateEventStore, late_event_aggregates, outcomes
 
 P = 300_000
 
@@ -63,3 +63,26 @@ def test_empty_and_outcomes(spark):
     assert late_event_aggregates(df, "key").count() == 0
     df = spark.createDataFrame([("a", 0, 1.0, (P + 61_000) * 1000), ("a", 1, 1.0, (P + 7_200_001) * 1000), ("b", 0, 1.0, (P + 60_000) * 1000)], "key string, t bigint, v double, arrival bigint")
     assert {tuple(r) for r in outcomes(late_event_aggregates(df, "key"), "key").collect()} == {("a", 0, "corrected"), ("a", 0, "cut_off")}
+
+
+def test_store_replaces_the_periods_a_batch_touches(spark, tmp_path):
+    rng = random.Random(8)
+    schema = "key bigint, t bigint, v double, arrival bigint, tie bigint"
+    rows = []
+    for _ in range(1500):
+        t = rng.randrange(0, 4 * P)
+        rows.append((rng.choice([1, 1, 2, None]), t, rng.choice([None, float(rng.randrange(50)), 7.0]), (t + rng.choice([1, 30, 500, 4000, 9000]) * 1000) * 1000 + rng.randrange(1000), rng.randrange(3)))
+    rows.sort(key=lambda r: r[3])
+    store, latest, touched = LateEventStore(spark, str(tmp_path / "state"), groups=3), {}, []
+    for i in range(4):
+        df = spark.createDataFrame(rows[i * 375 : (i + 1) * 375], schema)
+        assert store.process(df, f"b{i}", str(tmp_path / f"o{i}"), "key", tie="tie")
+        got = spark.read.parquet(str(tmp_path / f"o{i}")).collect()
+        touched.append(len(got))
+        latest |= {(r["key"], r["period_start"]): tuple(r)[:-1] for r in got}
+    assert not store.process(df, "b0", str(tmp_path / "o0"), "key", tie="tie") and spark.read.parquet(str(tmp_path / "o0")).count() == touched[0]
+    want = {(r["key"], r["period_start"]): tuple(r)[:-1] for r in late_event_aggregates(spark.createDataFrame(rows, schema), "key", tie="tie").collect()}
+    assert set(latest) == set(want) and all(latest[k] == pytest.approx(w) for k, w in want.items())
+    far = spark.createDataFrame([(9, 10**10, 1.0, 10**13, 0), (1, 0, 1.0, 10**13, 0)], schema)  # the old periods are final now
+    assert store.process(far, "far", str(tmp_path / "far"), "key", tie="tie") and [r["key"] for r in spark.read.parquet(str(tmp_path / "far")).collect()] == [9]
+    assert store.process(far.where("false"), "none", str(tmp_path / "none"), "key", tie="tie")
