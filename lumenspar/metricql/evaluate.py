@@ -93,6 +93,12 @@ class Engine:
         self.sketch_bins, self.sketch_points = sketch_bins, sketch_points
         self.max_series, self.max_buckets = max_series, max_buckets
         self._shared: dict[tuple, DataFrame] | None = None
+        self._held: list[DataFrame] = []
+
+    def release(self) -> None:
+        """Gives back the selections that batches keep for their results; results may still be read, at full cost."""
+        while self._held:
+            self._held.pop().unpersist()
 
     def query(self, text: str | Node, start: int, end: int, interval: int = 0, bound: dict[str, list[str]] | None = None, clamp: bool = False) -> Result:
         """bound: template variable -> tags `k:v` it stands for."""
@@ -195,6 +201,8 @@ class Engine:
             per = self._select(self.samples, q, q.metric, grid, bound, warn).where("value is not null").groupBy("series_key", "tags", "b").agg(agg.alias("v"))
             if self._shared is not None:
                 self._shared[key] = per = per.persist()
+                self._held.append(per)
+        per = model.at_most(per, "series_key", self.max_series, f"{q.metric}: the query selects more than {self.max_series} series")
         space = {"avg": F.avg("v"), "sum": F.sum("v"), "min": F.min("v"), "max": F.max("v"), "count": F.count("v").cast("double")}[q.agg]
         return self._dense(per.groupBy(self._group(F.col("tags"), q.by).alias("tags"), "b").agg(space.alias("v")), grid)
 
@@ -203,7 +211,9 @@ class Engine:
             raise QueryError("there is no sketch store")
         g = self._group(F.col("tags"), q.by).alias("g")
         bins = self._select(self.sketch_bins, q, q.metric, grid, bound, warn).groupBy(g, "b", "sign", "idx").agg(F.sum("count").alias("count"))
-        pts = self._select(self.sketch_points, q, q.metric, grid, bound, []).where("count > 0").groupBy(g, "b").agg(F.min("min").alias("min"), F.max("max").alias("max"), F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.count_distinct("gamma").alias("gammas"))
+        bins = sketch.collapse(bins, ["g", "b"])
+        read = self._select(self.sketch_points, q, q.metric, grid, bound, []).where("count > 0")
+        pts = model.at_most(read, "series_key", self.max_series, f"{q.metric}: the query selects more than {self.max_series} series").groupBy(g, "b").agg(F.min("min").alias("min"), F.max("max").alias("max"), F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.count_distinct("gamma").alias("gammas"))
         pts = pts.where(F.when(F.col("gammas") > 1, F.raise_error("sketches of different gamma can't be merged")).otherwise(F.lit(True)).cast("boolean"))
         return bins, pts
 

@@ -9,7 +9,7 @@ spans           trace_id, span_id, parent_id, service, name, resource, type, sta
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAGS = "array<struct<key:string,value:string>>"
@@ -57,3 +57,10 @@ def glob(c: Column, pattern: str) -> Column:
 def scope(t: Column) -> Column:
     """`k:v,k2:v2` of a group's tags, `*` without any."""
     return F.when(F.size(t) == 0, F.lit("*")).otherwise(F.array_join(tag_texts(t), ","))
+
+
+def at_most(df: DataFrame, column: str, most: int, message: str) -> DataFrame:
+    """df, or an error when it is read if `column` has more than `most` distinct values. The count is one row."""
+    n = df.select(column).distinct().limit(most + 1).agg(F.count("*").alias("_n"))
+    guard = n.select(F.when(F.col("_n") > most, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)).alias("_ok"))
+    return df.join(F.broadcast(guard), F.col("_ok")).drop("_ok")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspar import model
 from lumenspar.logql.syntax import LABELS
 from lumenspar.metricql.syntax import Node, Query, QueryError, number, parse, walk
 
@@ -117,6 +118,7 @@ class Options:
     no_data_s: int = 0  # 0: never NO_DATA
     renotify_s: int = 0
     muted: bool = False
+    forget_s: int = 86_400  # a group without data for this long is deleted
 
 
 def next_level(t: Thresholds, status: str, v: float, failures: int, o: Options) -> str:
@@ -143,17 +145,18 @@ class State:
     notified: int = 0
 
 
-def advance(s: State, t: Thresholds, o: Options, now: int, v: float | None) -> str:
+def advance(s: State, t: Thresholds, o: Options, now: int, v: float | None, window_end: int | None = None, data_at: int | None = None) -> str:
     """One evaluation; returns the kind of notification ('' for none): alert, warn, recovery, no_data or renotify.
 
-    Data after NO_DATA is judged as if the group were new. A muted monitor's state advances, and nobody is told.
+    Silence is measured from the newest data (data_at) to the end of the window, which both default to now. Data after
+    NO_DATA is judged as if the group were new. A muted monitor's state advances, and nobody is told.
     """
     to = s.status
     if v is None:
-        if o.no_data_s and s.last_data and now - s.last_data >= o.no_data_s:
+        if o.no_data_s and s.last_data and (now if window_end is None else window_end) - s.last_data >= o.no_data_s:
             to, s.breaches = "NO_DATA", 0
     else:
-        s.last_data = now
+        s.last_data = now if data_at is None else data_at
         s.breaches = s.breaches + 1 if holds(t.op, v, t.critical) else 0
         to = next_level(t, "OK" if s.status == "NO_DATA" else s.status, v, s.breaches, o)
     event = ""
@@ -194,7 +197,9 @@ def reduce_whole(points: DataFrame, agg: str, require_full: bool = False) -> Dat
 
 
 def log_counts(counts: DataFrame, start: int, end: int, step_s: int, groups: int = 100) -> DataFrame:
-    """Dense zeros of a log monitor: (bucket ms, grp, n) to points (scope, b, v); a missing group value is (none)."""
+    """Dense zeros of a log monitor: (bucket ms, grp, n) to points (scope, b, v); a missing group value is (none). More than
+    `groups` group values are an error when the points are read."""
+    counts = model.at_most(counts, "grp", groups, f"the monitor has more than {groups} groups; group by a field with fewer values")
     scope = F.when(F.col("grp") == "", "(none)").otherwise(F.col("grp"))
     m = counts.groupBy(scope.alias("scope")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("bucket") / 1000).cast("bigint").alias("b"), F.col("n").cast("double").alias("v")))).alias("m"))
     b = F.explode(F.sequence(F.lit(start).cast("bigint"), F.lit(end - step_s).cast("bigint"), F.lit(step_s).cast("bigint")))
@@ -214,6 +219,8 @@ def replay(ticks: DataFrame, t: Thresholds, o: Options | None = None) -> DataFra
         s, status, event, seen = State(), [], [], False
         for tick, v in zip(pdf.tick, pdf.value, strict=True):
             v = None if pd.isna(v) else float(v)
+            if seen and v is None and o.forget_s and tick - s.last_data >= o.forget_s:
+                s, seen = State(), False  # deleted; data makes it a new group
             seen |= v is not None  # a group begins with its first value
             event.append(advance(s, t, o, int(tick), v) if seen else "")
             status.append(s.status if seen else None)
@@ -229,6 +236,17 @@ def timeline(replayed: DataFrame) -> DataFrame:
     return d.select("scope", "status", F.col("tick").alias("since"), F.lead("tick").over(w).alias("until"))
 
 
+def list_events(replayed: DataFrame, start: int | None = None, end: int | None = None, kinds: tuple[str, ...] = (), scope: str | None = None, limit: int = 500) -> DataFrame:
+    """(tick, scope, event, status, value) of notifications in [start, end), newest first; limit is 1 to 5000."""
+    if not 1 <= limit <= 5000:
+        raise QueryError("limit: want 1 to 5000")
+    d = replayed.where("event <> ''")
+    for on, c in ((start is not None, F.col("tick") >= F.lit(start)), (end is not None, F.col("tick") < F.lit(end)), (bool(kinds), F.col("event").isin(*kinds)), (scope is not None, F.col("scope") == F.lit(scope))):
+        if on:
+            d = d.where(c)
+    return d.select("tick", "scope", "event", "status", "value").orderBy(F.desc("tick"), "scope").limit(limit)
+
+
 def list_monitors(monitors: DataFrame, states: DataFrame, status: str = "", name: str = "") -> DataFrame:
     """Monitors with their worst status and number of groups, worst first; without states OK."""
     rank = F.when(F.col("status") == "ALERT", 3).when(F.col("status") == "WARN", 2).when(F.col("status") == "NO_DATA", 1).otherwise(0)

@@ -12,9 +12,13 @@ SAMPLING_FACTOR = 1111111111111111111  # fixed value of the sampling hash
 TWO64 = 1 << 64
 
 
-def distinct_spans(spans: DataFrame) -> DataFrame:
-    """One row per (trace_id, span_id): a rewritten span replaces itself."""
-    return spans.dropDuplicates(["trace_id", "span_id"])
+def distinct_spans(spans: DataFrame, arrival: str | None = None) -> DataFrame:
+    """One row per (trace_id, span_id): of a span written again the row that arrived last, or, if no column tells, the one
+    with the latest end, then the largest duration, then by its texts."""
+    rest = [c for c in spans.columns if c not in ("trace_id", "span_id")]
+    order = [F.col(arrival)] if arrival else [F.col("start") + F.col("duration"), F.col("duration"), *(F.col(c) for c in rest if spans.schema[c].dataType.typeName() in ("string", "integer", "long"))]
+    x = spans.groupBy("trace_id", "span_id").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x"))
+    return x.select(*(F.col(c) if c in ("trace_id", "span_id") else F.col(f"x.{c}") for c in spans.columns))
 
 
 def trace(spans: DataFrame, trace_id: str) -> DataFrame:

@@ -19,17 +19,21 @@ LOGS = "struct<logs:array<struct<ts:bigint,message:string,status:string,service:
 SPAN = "struct<trace_id:string,span_id:string,parent_id:string,service:string,name:string,resource:string,type:string,start:bigint,duration:bigint,error:int,meta:map<string,string>,metrics:map<string,double>>"
 
 
-def decode(payloads: DataFrame, payload: str, schema: str, items: str) -> DataFrame:
-    """One row per item of each payload, with `payload_ok`: broken JSON gives one row without an item."""
+def decode(payloads: DataFrame, payload: str, schema: str, items: str, most: int = MAX_SERIES) -> DataFrame:
+    """One row per item of each payload, with `payload_ok`: broken JSON, and a payload of more than `most` items, give one
+    row without an item."""
     d = payloads.withColumn("_p", F.from_json(payload, schema, {"mode": "PERMISSIVE"}))
+    d = d.withColumn("_p", F.when(F.size(F.coalesce(F.col(f"_p.{items}"), F.array())) <= most, F.col("_p")))
     return d.select("*", F.posexplode_outer(f"_p.{items}").alias("item_no", "item")).withColumn("payload_ok", F.col("item").isNotNull()).drop("_p")
 
 
 def decode_spans(payloads: DataFrame, payload: str) -> DataFrame:
-    """Spans of flat ({spans: [...]}) and chunked ({chunks: [{spans: [...]}]}) payloads; chunk_no is 0 in flat ones."""
+    """Spans of flat ({spans: [...]}) and chunked ({chunks: [{spans: [...]}]}) payloads; chunk_no is 0 in flat ones. A
+    payload of more than MAX_SPANS spans is refused whole and gives no row."""
     d = payloads.withColumn("_p", F.from_json(payload, f"struct<spans:array<{SPAN}>,chunks:array<struct<priority:int,spans:array<{SPAN}>>>>"))
     one = F.when(F.col("_p.spans").isNotNull(), F.array(F.struct(F.lit(None).cast("int").alias("priority"), F.col("_p.spans").alias("spans")))).otherwise(F.col("_p.chunks"))
-    c = d.select("*", F.posexplode(one).alias("chunk_no", "_c")).drop("_p")
+    size = F.aggregate(one, F.lit(0), lambda n, x: n + F.greatest(F.size(x["spans"]), F.lit(0)))
+    c = d.where(size <= MAX_SPANS).select("*", F.posexplode(one).alias("chunk_no", "_c")).drop("_p")
     return c.select("*", F.col("_c.priority").alias("priority"), F.posexplode("_c.spans").alias("span_no", "item")).drop("_c")
 
 

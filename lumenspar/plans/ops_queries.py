@@ -213,6 +213,7 @@ def _machine(min_failures: int, no_data: int, renotify: int) -> str:
 
 
 _q("monitor_replay", lambda s, d: monitors.replay(_ticks(s, d), _T, monitors.Options(min_failures=2, no_data_s=4 * 3600, renotify_s=6 * 3600)).withColumn("value", F.round("value", 6)), f"WITH RECURSIVE {EVENTS}, {_HOURS}, {_machine(2, 14400, 21600)} SELECT scope, tick, round(v, 6) AS value, CASE WHEN seen THEN status END AS status, event FROM m WHERE i > 0")
+_q("monitor_events", lambda s, d: monitors.list_events(monitors.replay(_ticks(s, d), _T, monitors.Options(min_failures=2, no_data_s=4 * 3600, renotify_s=6 * 3600)), FROM, TO, ("alert", "recovery", "warn"), limit=100).withColumn("value", F.round("value", 6)), f"WITH RECURSIVE {EVENTS}, {_HOURS}, {_machine(2, 14400, 21600)} SELECT tick, scope, event, status, round(v, 6) AS value FROM m WHERE event IN ('alert', 'recovery', 'warn') AND tick BETWEEN {FROM} AND {TO - 1} ORDER BY tick DESC, scope LIMIT 100")
 _q("monitor_timeline", lambda s, d: monitors.timeline(monitors.replay(_ticks(s, d), _T)), f"WITH RECURSIVE {EVENTS}, {_HOURS}, {_machine(1, 0, 0)}, r AS (SELECT scope, tick, status, lag(status) OVER (PARTITION BY scope ORDER BY tick) AS p FROM m WHERE i > 0 AND seen) SELECT scope, status, tick AS since, lead(tick) OVER (PARTITION BY scope ORDER BY tick) AS until FROM r WHERE status IS DISTINCT FROM p")
 _q("monitor_list", lambda s, d: monitors.list_monitors(table(s, d, "monitors"), table(s, d, "monitor_states")), "WITH s AS (SELECT monitor_id, max(CASE status WHEN 'ALERT' THEN 3 WHEN 'WARN' THEN 2 WHEN 'NO_DATA' THEN 1 ELSE 0 END) AS w, count(*) AS g, count(*) FILTER (status = 'ALERT') AS a FROM (SELECT DISTINCT ON (monitor_id, group_key) * FROM monitor_states) GROUP BY monitor_id) SELECT id, name, ['OK', 'NO_DATA', 'WARN', 'ALERT'][coalesce(w, 0) + 1] AS status, coalesce(g, 0) AS groups, coalesce(a, 0) AS alerting FROM monitors LEFT JOIN s ON id = monitor_id")
 
