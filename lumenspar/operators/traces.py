@@ -33,7 +33,10 @@ def orphans(spans: DataFrame) -> DataFrame:
 
 def trace_view(spans: DataFrame) -> DataFrame:
     """Per trace: start, duration (us), span_count, errors, services, orphans."""
-    o = orphans(spans).groupBy("trace_id").agg(F.count("*").alias("orphans"))
+    own = F.struct(F.col("span_id").alias("id"), F.lit(True).alias("own"), F.lit(0).alias("refs"))
+    ref = F.when(F.coalesce("parent_id", F.lit("")) != "", F.struct(F.col("parent_id").alias("id"), F.lit(False).alias("own"), F.lit(1).alias("refs")))
+    ids = spans.select("trace_id", F.explode(F.array_compact(F.array(own, ref))).alias("x")).groupBy("trace_id", "x.id").agg(F.max("x.own").alias("own"), F.sum("x.refs").alias("refs"))
+    o = ids.where("not own").groupBy("trace_id").agg(F.sum("refs").alias("orphans"))
     v = spans.groupBy("trace_id").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("duration")) - F.min("start")).alias("duration"), F.count("*").alias("span_count"), F.sum("error").cast("bigint").alias("errors"), F.array_sort(F.collect_set("service")).alias("services"))
     return v.join(o, "trace_id", "left").fillna(0, ["orphans"])
 
@@ -119,10 +122,17 @@ def red_table(spans: DataFrame, start: int, end: int, by: list[str] | None = Non
     first. most is the feature: a table of at most so many rows."""
     by = by or ["name", "service"]
     d = red_samples(spans).where(F.col("ts_s").between(start // 1_000_000, end // 1_000_000))
-    n = d.groupBy(*by).agg(F.count("*").alias("requests"), F.sum("error").cast("bigint").alias("errors"), F.min("secs").alias("min"), F.max("secs").alias("max"))
-    q = sketch.quantiles(sketch.bins(d, by, "secs"), n, by, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    ms = [F.round(F.col(c) * 1000, 6).alias(f"{c}_ms") for c in ("p50", "p95", "p99")]
-    return n.join(q, by).select(*by, "requests", F.round(F.col("requests") / ((end - start) / 1e6), 9).alias("per_second"), "errors", F.round(F.col("errors") / F.col("requests") * 100, 6).alias("error_pct"), *ms).orderBy(F.desc("requests"), *by).limit(most)
+    # one pass: requests, errors and extremes ride on the sketch's bins, and the bins of a group meet once
+    v = F.col("secs")
+    bins = d.groupBy(*by, sketch.sign(v).alias("sign"), sketch.index(v).alias("idx")).agg(F.count("*").alias("c"), F.sum("error").alias("e"), F.min(v).alias("min"), F.max(v).alias("max"))
+    w = Window.partitionBy(*by)
+    place = F.struct("sign", (F.col("sign") * F.col("idx")).alias("o"))
+    r = bins.withColumn("k", F.when(F.col("idx").isNotNull(), F.col("c"))).select("*", F.sum("k").over(w.orderBy("sign", F.col("sign") * F.col("idx"))).alias("cum"), F.sum("k").over(w).alias("n"))
+    at = lambda q: F.min_by(sketch.estimate(F.col("sign"), F.col("idx")), F.when(F.col("idx").isNotNull() & (F.col("cum") > F.greatest(F.lit(0.0), q * (F.col("n") - 1))), place))
+    ps = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    t = r.groupBy(*by).agg(F.sum("c").alias("requests"), F.sum("e").cast("bigint").alias("errors"), F.min("min").alias("min"), F.max("max").alias("max"), *(at(q).alias(c) for c, q in ps.items()))
+    ms = [F.round(F.least(F.greatest(F.col(c), F.col("min")), F.col("max")) * 1000, 6).alias(f"{c}_ms") for c in ps]
+    return t.select(*by, "requests", F.round(F.col("requests") / ((end - start) / 1e6), 9).alias("per_second"), "errors", F.round(F.col("errors") / F.col("requests") * 100, 6).alias("error_pct"), *ms).orderBy(F.desc("requests"), *by).limit(most)
 
 
 def head_sampled(trace_id: Column, rate: float) -> Column:

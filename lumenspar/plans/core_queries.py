@@ -259,3 +259,10 @@ SQL = {
             coalesce(component, '') AS component, coalesce(ts_ms, 0) AS ts_ms FROM a""",
 }
 HEADS = SQL["p5_found"].split("        e AS (")[0]  # each line once, and what its head tells
+_LEVELS = "(?:DEBUG|INFO|WARNING|WARN|ERROR|CRITICAL|FATAL)"
+_TEXT = f"""CASE WHEN obj THEN CASE WHEN json_exists(line, '$.message') THEN CASE WHEN json_type(line, '$.message') = 'VARCHAR' THEN line->>'message' ELSE line END WHEN json_type(line, '$.msg') = 'VARCHAR' THEN line->>'msg' ELSE line END
+    WHEN id <> '' THEN m WHEN NOT head THEN line
+    WHEN source = 'sidekiq' THEN regexp_replace(line, '^\\S+ pid=.*? ?[A-Z]+\\d?: ', '', 's') WHEN source = 'postgres' THEN regexp_replace(line, '^.*?\\[\\d+\\].*? ?[A-Z]+\\d?: +', '', 's') WHEN source = 'redis' THEN regexp_replace(line, '^\\S+ \\S+ \\S+ \\S+ \\S+ \\S ', '', 's')
+    WHEN h['lv'] <> '' THEN regexp_replace(line, '^\\S+ ?\\S* {_LEVELS} [\\w.\\-]+ ', '', 's') WHEN regexp_matches(line, '^\\d\\d:\\d\\d:\\d\\d: ') THEN regexp_replace(line, '^\\S+ +', '', 's')
+    WHEN regexp_matches(line, '^[A-Z]+:\\s+[\\d.]+:\\d+ - "') THEN regexp_replace(line, '^.*? - ', '', 's') WHEN regexp_matches(line, '^{_LEVELS}:\\s') THEN regexp_replace(line, '^[A-Z]+:\\s+', '', 's') ELSE regexp_replace(line, '^{_LEVELS}[ :][\\w.\\-]+[ :]', '', 's') END"""
+SQL["p5_entries"] = SQL["p5_found"].replace("bool_or(boom) AS boom FROM t", f"bool_or(boom) AS boom, array_to_string(list({_TEXT} ORDER BY line_no), chr(10)) AS message FROM t").replace("coalesce(ts_ms, 0) AS ts_ms FROM a", "coalesce(ts_ms, 0) AS ts_ms, message FROM a")

@@ -231,10 +231,20 @@ def dashboard_batch(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def dashboard_separate(s: SparkSession, d: str) -> DataFrame:
+    """The same six queries, each with an engine and a selection of its own."""
+    out = None
+    for i, (a, b) in enumerate((x, y) for x in ("sum", "avg", "max") for y in ("shard", "type")):
+        x = engine(s, d).query(f"{a}:app.event.count{{*}} by {{{b}}}", FROM, TO, DAY).points().select(F.lit(f"q{i}").alias("query"), "scope", "ts_ms", F.round("value", 6).alias("value"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 _parts = []
 for _i, (_a, _b) in enumerate((x, y) for x in ("sum", "avg", "max") for y in ("shard", "type")):
     _parts.append(f"SELECT 'q{_i}' AS query, x.scope, x.b * 1000 AS ts_ms, round(y.v, 6) AS value FROM (SELECT DISTINCT '{_b}:' || {_b} AS scope, unnest(range({FROM}, {FROM + 30 * DAY}, {DAY})) AS b FROM t) x LEFT JOIN (SELECT '{_b}:' || {_b} AS scope, b, {_a}(v) AS v FROM t GROUP BY ALL) y USING (scope, b)")
 _q("dashboard_batch", dashboard_batch, f"WITH {EVENTS}, s AS ({SAMPLES['count']}), t AS (SELECT type, shard, tier, ts_s // {DAY} * {DAY} AS b, sum(value) AS v FROM s GROUP BY ALL) " + " UNION ALL ".join(_parts))
+_q("dashboard_separate", dashboard_separate, SQL["dashboard_batch"])
 _q("dashboard_toplist", lambda s, d: dashboards.toplist(engine(s, d).query("sum:app.event.count{*} by {shard}", FROM, TO, DAY).lines, "max", 4), f"WITH {EVENTS}, s AS ({SAMPLES['count']}), g AS (SELECT 'shard:' || shard AS scope, ts_s // {DAY} AS b, sum(value) AS v FROM s GROUP BY ALL) SELECT scope, max(v) AS value FROM g GROUP BY scope ORDER BY value DESC, scope LIMIT 4")
 BANDS = [0.0, 10.0, 50.0, 100.0, 500.0]
 _q("dashboard_heatmap", lambda s, d: dashboards.heatmap(engine(s, d).distribution("dist:app.event.dist{*}", FROM, TO, DAY), BANDS), f"""WITH {EVENTS}, {_BINS}, x AS (SELECT b, CASE WHEN sg > 0 THEN pow({_G}, ix - 1) WHEN sg < 0 THEN -pow({_G}, ix) ELSE 0 END AS lo, CASE WHEN sg > 0 THEN pow({_G}, ix) WHEN sg < 0 THEN -pow({_G}, ix - 1) ELSE 0 END AS hi, sum(c) AS c FROM bins GROUP BY ALL),

@@ -14,7 +14,8 @@ DAY_MS = 86_400_000
 
 
 def _append(df: DataFrame, path: str, batch: str, sort: list[str], bloom: list[str] = ()) -> None:
-    w = df.repartition("day").sortWithinPartitions("day", *sort).write.mode("overwrite").partitionBy("day")
+    # ranges of day and key: a day of any size is spread over tasks, and files hold few keys each
+    w = df.repartitionByRange("day", *sort[:2]).sortWithinPartitions("day", *sort).write.mode("overwrite").partitionBy("day")
     for c in bloom:
         w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
     w.parquet(f"{path}/batch={batch}")
