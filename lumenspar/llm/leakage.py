@@ -126,6 +126,12 @@ def _sums(table: np.ndarray, dims: np.ndarray, first: np.ndarray, chunk: int = 4
     return out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers (sorting beats np.unique's hashing at these sizes)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
@@ -141,7 +147,7 @@ def frequencies(hashes: DataFrame, size: int) -> tuple[np.ndarray, int]:
             first, _, _ = _blocks(off, size)
             n += len(first)
             row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
-            c += np.bincount(np.unique(row * DIM + _dims(w)) % DIM, minlength=DIM)
+            c += np.bincount(_distinct(row * DIM + _dims(w)) % DIM, minlength=DIM)
         at = np.flatnonzero(c)
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(c[at], n))], names=["dim", "n"])
 
@@ -172,7 +178,7 @@ def covariance(hashes: DataFrame, idf: np.ndarray, omega: np.ndarray, size: int)
             many = np.diff(np.append(first, len(w)))
             norm2 = np.maximum(np.add.reduceat(idf[dims] ** 2, first), 1e-12)
             y = _sums(table, dims, first) / norm2[:, None]  # once for the vector, once for its product
-            order = np.argsort(dims, kind="stable")
+            order = np.argsort(dims.astype(np.int16), kind="stable")  # a radix sort
             row, ds = np.repeat(np.arange(len(first)), many)[order], dims[order]
             for a in range(0, len(ds), 100_000):  # words at a time
                 d, r = ds[a : a + 100_000], row[a : a + 100_000]
@@ -252,7 +258,7 @@ class LeakFinder:
     probes: int
 
     @classmethod
-    def fit(cls, hashes: DataFrame, items: DataFrame, item_id: str = "item_id", passage: str = "passage", answer: str = "answer", run: int = 12, rank: int = 64, cosine: float = 0.4, probes: int = 12, block_items: int = 2000, seed: int = 7) -> LeakFinder:
+    def fit(cls, hashes: DataFrame, items: DataFrame, item_id: str = "item_id", passage: str = "passage", answer: str = "answer", run: int = 12, rank: int = 64, cosine: float = 0.5, probes: int = 8, block_items: int = 2000, seed: int = 7) -> LeakFinder:
         """hashes: hashed() documents, of any number. items: the stated query set; null passages are no items, and one id
         may have several passages."""
         iw = cut(hashed(items.where(F.col(item_id).isNotNull()).select(item_id, answer, passage).distinct(), passage, item_id, answer), "items")
@@ -292,7 +298,7 @@ class LeakFinder:
             v = vec[a : a + 16_384]
             near = np.argpartition(-(v @ block.cells.T), probes - 1, axis=1)[:, :probes]
             row, cell = np.repeat(np.arange(len(v)), probes), near.ravel()
-            order = np.argsort(cell, kind="stable")
+            order = np.argsort(cell.astype(np.uint16) if len(block.cells) < 1 << 16 else cell, kind="stable")
             row, at = row[order], np.searchsorted(cell[order], np.arange(len(block.cells) + 1))
             for c in range(len(block.cells)):
                 lo, hi = block.bounds[c], block.bounds[c + 1]
@@ -320,11 +326,12 @@ class LeakFinder:
         step = np.arange(self.run)
         same = (w[pos[:, None] + step] == block.words[block.gram_at[g, 1][:, None] + step]).all(1) if len(g) else np.zeros(0, bool)
         n = len(block.ids)
-        key = np.unique(owner[same] * n + block.gram_at[g[same], 0])
+        key = _distinct(owner[same] * n + block.gram_at[g[same], 0])
         live[:] = False
         live[key // n] = True
         near = live[win]  # the candidates of windows with such runs, a small part
-        key = key[np.isin(key, win[near] * n + item[near])]
+        asked = _distinct(win[near] * n + item[near])
+        key = key[asked[np.searchsorted(asked, key).clip(max=len(asked) - 1)] == key] if len(asked) else key[:0]
         return np.stack([key // n, key % n], 1)
 
     def _each(self, hashes: DataFrame, doc_id: str, schema: str, fn: Callable) -> DataFrame:
