@@ -258,7 +258,7 @@ class LeakFinder:
     probes: int
 
     @classmethod
-    def fit(cls, hashes: DataFrame, items: DataFrame, item_id: str = "item_id", passage: str = "passage", answer: str = "answer", run: int = 12, rank: int = 64, cosine: float = 0.5, probes: int = 8, block_items: int = 2000, seed: int = 7) -> LeakFinder:
+    def fit(cls, hashes: DataFrame, items: DataFrame, item_id: str = "item_id", passage: str = "passage", answer: str = "answer", run: int = 12, rank: int = 48, cosine: float = 0.5, probes: int = 8, block_items: int = 2000, seed: int = 7) -> LeakFinder:
         """hashes: hashed() documents, of any number. items: the stated query set; null passages are no items, and one id
         may have several passages."""
         iw = cut(hashed(items.where(F.col(item_id).isNotNull()).select(item_id, answer, passage).distinct(), passage, item_id, answer), "items")
