@@ -84,3 +84,20 @@ def from_histogram(df: DataFrame, keys: list[str], bounds: str, counts: str, par
     lower = F.coalesce(before, F.when(upper > 0, F.lit(0.0)).otherwise(upper))
     pts = z.where(F.col("z.c") > 0).select(*keys, lower.alias("lo"), upper.alias("hi"), F.col("z.c").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
     return bins(pts.withColumn("v", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("p") + 0.5) / parts).withColumn("w", F.col("c") / float(parts)), keys, "v", F.col("w"))
+
+
+def encode(bins: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """points with a column `bins` that holds a sketch's bins in one row: per sign the first index, the gaps to the next
+    ones, and the counts, at most MAX_BINS each. Empty sketches have none."""
+    part = lambda c: F.struct(F.get(F.transform(c, lambda x: x["idx"]), F.lit(0)).alias("first"), F.zip_with(F.slice(c, 2, MAX_BINS), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: a["idx"] - b["idx"]).alias("gaps"), F.transform(c, lambda x: x["count"]).alias("counts"))
+    per = collapse(bins, keys).groupBy(*keys, "sign").agg(F.array_sort(F.collect_list(F.struct("idx", "count"))).alias("x"))
+    one = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sign", part(F.col("x")).alias("p")))).alias("bins"))
+    return points.join(one, keys, "left")
+
+
+def decode(encoded: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., sign, idx, count) of encoded sketches."""
+    p = encoded.select(*keys, F.explode("bins").alias("s")).select(*keys, "s.sign", "s.p.*")
+    q = p.select(*keys, "sign", "first", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(0)), "gaps").alias("gap"), F.col("counts").alias("count"))).alias("i", "x"))
+    at = F.sum("x.gap").over(Window.partitionBy(*keys, "sign").orderBy("i"))  # at most MAX_BINS rows
+    return q.select(*keys, "sign", (F.col("first") + at).cast("int").alias("idx"), F.col("x.count").alias("count"))

@@ -85,6 +85,9 @@ class Result:
         return self.lines.groupBy("scope", "tags").agg(F.array_sort(F.collect_list(p)).alias("points")).orderBy("scope")
 
 
+PROMOTED = ("service", "env", "host", "route", "status")  # tags that stores keep as columns too, by their first value
+
+
 class Engine:
     """Answers metric queries over metric_samples and, for percentiles, sketch_bins and sketch_points."""
 
@@ -172,6 +175,9 @@ class Engine:
         d = df.where((F.col("metric") == metric) & F.col("ts_s").between(lo, hi))
         for m in self._matchers(q, bound, warn):
             d = d.where(self._condition(m, F.col("tags")))
+            if m.key in PROMOTED and m.key in df.columns and not m.negated:  # what the scan can skip by
+                plain = m.is_in and not any("*" in v for v in m.values)
+                d = d.where(F.col(m.key).isin(*m.values) if plain else F.col(m.key).isNotNull())
         return d.withColumn("b", F.col("ts_s") - F.pmod(F.col("ts_s") - grid.first, F.lit(grid.interval)))
 
     @staticmethod

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lumenspar import model
 from lumenspar.logql import compile as logs_compile
+from lumenspar.metricql import Engine
 from lumenspar.operators import catalog, dashboards, edge, log_pipeline, logs, monitors, pipeline, wire
 from lumenspar.plans.core_queries import HEADS
 from lumenspar.plans.metric_queries import _BINS, _G, DAY, EVENTS, FROM, SAMPLES, TO, engine
-from lumenspar.sources import adapters
+from lumenspar.session import scratch
+from lumenspar.sources import adapters, stores
 from lumenspar.sources.tables import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,4 +255,45 @@ _q("dashboard_heatmap", lambda s, d: dashboards.heatmap(engine(s, d).distributio
     SELECT '*' AS scope, b, band, round(sum(n), 6) AS count FROM p WHERE n > 0 GROUP BY ALL""")
 _q("dashboard_align", lambda s, d: dashboards.align(engine(s, d).query("sum:app.event.count{*} by {type}", FROM, TO, DAY).lines, [f"type:{t}" for t in ("click", "error", "purchase", "signup", "view")]), f"WITH {EVENTS} SELECT x.b * 1000 AS ts_ms, " + ", ".join(f"CASE WHEN count(*) FILTER (type = '{t}') > 0 THEN count(*) FILTER (type = '{t}')::DOUBLE END AS \"type:{t}\"" for t in ("click", "error", "purchase", "signup", "view")) + f" FROM (SELECT unnest(range({FROM}, {FROM + 30 * DAY}, {DAY})) AS b) x LEFT JOIN e ON e.ts_s // {DAY} * {DAY} = x.b GROUP BY x.b")
 
+# stores: rows written, read again by day and asked
+
+
+def store_metrics(s: SparkSession, d: str) -> DataFrame:
+    """A metric query over a store written in two batches, with promoted columns beside the tags."""
+    path = scratch(s, "store")
+    x = adapters.metric_samples(s, d).withColumn("tags", F.concat("tags", F.array(F.struct(F.lit("env").alias("key"), F.when(F.col("ts_s") % 7200 == 0, "dev").otherwise("prod").alias("value"))))).withColumn("series_key", model.series_key(F.col("metric"), F.col("tags")))
+    stores.append_metrics(x.where("ts_s % 14400 < 7200"), path, "1")
+    stores.append_metrics(x.where("ts_s % 14400 >= 7200"), path, "2")
+    back = stores.read(s, path, FROM * 1000, TO * 1000)
+    return Engine(s, back, adapters.KINDS).query("sum:app.event.count{env IN (dev)} by {type}", FROM, TO, DAY).points().select("scope", "ts_ms", "value")
+
+
+_q("store_metrics", store_metrics, f"WITH {EVENTS}, s AS ({SAMPLES['count']}), g AS (SELECT 'type:' || type AS scope, ts_s // {DAY} * {DAY} AS b, sum(value) AS v FROM s WHERE ts_s % 7200 = 0 AND ts_s BETWEEN {FROM} AND {FROM + 30 * DAY - 1} GROUP BY ALL) SELECT x.scope, x.b * 1000 AS ts_ms, g.v AS value FROM (SELECT DISTINCT scope, unnest(range({FROM}, {FROM + 30 * DAY}, {DAY})) AS b FROM g) x LEFT JOIN g USING (scope, b)")
+
+
+def store_sketches(s: SparkSession, d: str) -> DataFrame:
+    """Sketches written, read again and merged per day."""
+    path = scratch(s, "store")
+    stores.append_sketches(*adapters.sketches(s, d), path, "1")
+    bins, points = stores.read_sketches(s, path)
+    day = (F.col("ts_s") - F.pmod(F.col("ts_s"), F.lit(DAY))).alias("b")
+    n = points.groupBy(day).agg(F.sum("count").cast("bigint").alias("points"))
+    return bins.groupBy(day, "sign", "idx").agg(F.sum("count").cast("bigint").alias("n")).join(n, "b")
+
+
+_q("store_sketches", store_sketches, f"WITH {EVENTS}, {_BINS}, p AS (SELECT ts_s // {DAY} * {DAY} AS b, count(value) AS points FROM e GROUP BY ALL) SELECT b, sg AS sign, ix AS idx, sum(c)::BIGINT AS n, any_value(points) AS points FROM bins JOIN p USING (b) GROUP BY ALL")
+
+
+def store_logs(s: SparkSession, d: str) -> DataFrame:
+    """Logs written in two batches, compacted, read by day and searched."""
+    path = scratch(s, "store")
+    x = adapters.event_logs(s, d)
+    stores.append_logs(x.where("seq % 2 = 0"), path, "1")
+    stores.append_logs(x.where("seq % 2 = 1"), path, "2")
+    stores.compact(s, path, f"{path}-compact", ["service", "ts"])
+    return logs.histogram(stores.read(s, f"{path}-compact", FROM * 1000, TO * 1000), "status:error", FROM * 1000, TO * 1000, DAY * 1000, "service")
+
+
+_q("store_logs", store_logs, f"SELECT epoch_us(ts) // 1000 // {DAY * 1000} * {DAY * 1000} AS bucket, 'svc-' || (user_id % 4) AS grp, count(*) AS n FROM events WHERE event_type = 'error' AND epoch_us(ts) // 1000 BETWEEN {FROM * 1000} AND {TO * 1000} GROUP BY ALL")
+
 QUERIES = Q

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenspar.functions import sketch
+
 DAY_MS = 86_400_000
 
 
@@ -29,6 +31,20 @@ def append_metrics(samples: DataFrame, path: str, batch: str) -> None:
     _append(samples.withColumns(hot).withColumn("day", F.floor(F.col("ts_s") / 86_400).cast("bigint")), path, batch, ["metric", "series_key", "ts_s"])
 
 
+def append_sketches(bins: DataFrame, points: DataFrame, path: str, batch: str) -> None:
+    """Sketches, a row per series and time with its bins encoded."""
+    keys = ["metric", "tags", "series_key", "ts_s"]
+    x = sketch.encode(bins, points, keys).withColumn("day", F.floor(F.col("ts_s") / 86_400).cast("bigint"))
+    _append(x, path, batch, ["metric", "series_key", "ts_s"])
+
+
+def read_sketches(spark: SparkSession, path: str, first_ms: int | None = None, last_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sketch_bins, sketch_points) of a sketch store, only the days asked for."""
+    df = read(spark, path, first_ms, last_ms)
+    keys = ["metric", "tags", "series_key", "ts_s"]
+    return sketch.decode(df, keys), df.drop("bins", "day")
+
+
 def append_logs(logs: DataFrame, path: str, batch: str) -> None:
     _append(logs.withColumn("day", F.floor(F.col("ts") / DAY_MS).cast("bigint")), path, batch, ["service", "source", "host", "status", "ts", "seq"], ["trace_id"])
 
