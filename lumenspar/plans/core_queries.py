@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenspar.operators import delivery_dedup, late_events, log_entries, regular_grid, spikes
@@ -67,7 +67,7 @@ SKETCH = SetSketch(m=4096, base=1.2, cap=254)
 
 def identifier_sketches(spark: SparkSession, d: str) -> DataFrame:
     """Sparse sketches (day, metric, tag_key, what, reg, k) at the finest level: `series` of series keys, `value` of tag
-    values. day is null for what the catalogue holds whatever the day, tag_key for series as such."""
+    values, of all series with a reading; tag_key is null for series as such."""
     ids = table(spark, d, "series").select(F.col("id").alias("series_id"), "metric", "key").distinct()
     tags = table(spark, d, "series_tags").select("series_id", F.col("key").alias("tag_key"), F.nullif("value", F.lit("")).alias("value")).distinct()
     days = table(spark, d, "samples").where("v is not null").select("series_id", F.floor(F.col("t") / 86_400_000).cast("bigint").alias("day")).distinct()
@@ -108,10 +108,16 @@ def p6_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Jaccard, union and intersection of the series of each pair of consecutive days, from the daily sketches."""
-    day = SKETCH.merge(identifier_sketches(spark, d).where("tag_key is null"), ["day"])
-    days = day.select("day").distinct()
-    return SKETCH.pairs(day, "day", days.select((F.col("day") - 1).alias("a"), F.col("day").alias("b")).join(days.select(F.col("day").alias("a")), "a", "left_semi"))
+    """Jaccard, union and intersection with their errors, from the sketches: of the series of each pair of consecutive days,
+    and of the tag values of each tag key and the next by name (`of` tells which)."""
+    fine = cut(identifier_sketches(spark, d), "sketches")
+    day = SKETCH.merge(fine.where("tag_key is null").select(F.col("day").cast("string").alias("g"), "reg", "k"), ["g"])
+    key = SKETCH.merge(fine.where("what = 'value'").select(F.col("tag_key").alias("g"), "reg", "k"), ["g"])
+    days = fine.select(F.col("day").alias("n")).distinct()
+    next_day = days.select((F.col("n") - 1).alias("n"), F.col("n").alias("b")).join(days, "n").select(F.col("n").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    keys = key.select("g").distinct()
+    two = keys.select(F.col("g").alias("a"), F.lead("g").over(Window.partitionBy(F.lit(0)).orderBy("g")).alias("b")).where("b is not null")  # a row per tag key
+    return SKETCH.pairs(day, "g", next_day).select(F.lit("day").alias("of"), "*").unionByName(SKETCH.pairs(key, "g", two).select(F.lit("tag_key").alias("of"), "*"))
 
 
 def p6_error(spark: SparkSession, d: str) -> DataFrame:
