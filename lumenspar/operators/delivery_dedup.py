@@ -156,7 +156,8 @@ def duplicates(deliveries: DataFrame, **columns: str) -> DataFrame:
     """
     spark = deliveries.sparkSession
     ids = cut(identifiers(deliveries, **columns).where("delivery_id is not null"), "ids")  # payloads are parsed once
-    bitmaps, kept = SeenBitmaps(spark, scratch(spark, "seen")), []
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))  # both batches touch all of them: as many as there are tasks
+    bitmaps, kept = SeenBitmaps(spark, scratch(spark, "seen"), groups), []
     for name, part in (("whole", ids.where("whole")), ("broken", ids.where("not whole"))):
         kept.append(scratch(spark, "kept"))
         bitmaps.process_ids(part, name, kept[-1])
